@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.canonical import CanonicalGroups, group_by_canonical_content
 from evalloom.llm.leakage import find_leaks
+from evalloom.llm.neardup import NearDuplicates, find_near_duplicates
 from evalloom.llm.packing import pack_texts
 from evalloom.llm.splitting import split_oversized
 from evalloom.llm.survivor import surviving_fields
@@ -29,6 +30,20 @@ def p1_contents(spark: SparkSession, directory: str) -> DataFrame:
     return _canonical(spark, directory).collapsed().withColumnRenamed("first_id", "first_record_id")
 
 
+def _near_duplicates(spark: SparkSession, directory: str) -> NearDuplicates:
+    records = read_table(spark, directory, "source_docs").select(F.lit("record").alias("kind"), F.col("record_id").cast("string").alias("key"), F.col("content").alias("text"), F.lit(True).alias("fields"))
+    chunks = read_table(spark, directory, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "text", F.lit(False).alias("fields"))
+    return find_near_duplicates(records.unionByName(chunks))
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _near_duplicates(spark, directory).pairs().withColumnRenamed("kind", "item_kind")
+
+
+def p2_groups(spark: SparkSession, directory: str) -> DataFrame:
+    return _near_duplicates(spark, directory).groups().withColumnsRenamed({"kind": "item_kind", "key": "item_key"})
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     scored = latest_scores(read_table(spark, directory, "ranked"), "question_id", "chunk_id", "score", "logged_at")
     return top_n(scored, 5).select(F.col("g").alias("question_id"), F.col("i").alias("chunk_id"))
@@ -90,4 +105,4 @@ def p8_leaks(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_contents, p4_found, p4_ranked, p5_found, p5_records, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_contents, p2_found, p2_groups, p4_found, p4_ranked, p5_found, p5_records, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_leaks)}
