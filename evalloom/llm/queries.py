@@ -11,9 +11,11 @@ from evalloom.llm.canonical import CanonicalGroups, group_by_canonical_content
 from evalloom.llm.leakage import find_leaks
 from evalloom.llm.neardup import NearDuplicates, find_near_duplicates
 from evalloom.llm.packing import pack_texts
+from evalloom.llm.pairs import find_defective_pairs, one_defect
 from evalloom.llm.splitting import split_oversized
 from evalloom.llm.survivor import surviving_fields
 from evalloom.llm.topn import latest_scores, top_n
+from evalloom.llm.truncation import find_truncated, truncation_by_source
 from evalloom.runtime import broadcast_if_small, read_table
 
 
@@ -44,6 +46,14 @@ def p2_groups(spark: SparkSession, directory: str) -> DataFrame:
     return _near_duplicates(spark, directory).groups().withColumnsRenamed({"kind": "item_kind", "key": "item_key"})
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return one_defect(find_defective_pairs(read_table(spark, directory, "questions")))
+
+
+def p3_parts(spark: SparkSession, directory: str) -> DataFrame:
+    return find_defective_pairs(read_table(spark, directory, "questions"))
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     scored = latest_scores(read_table(spark, directory, "ranked"), "question_id", "chunk_id", "score", "logged_at")
     return top_n(scored, 5).select(F.col("g").alias("question_id"), F.col("i").alias("chunk_id"))
@@ -104,5 +114,17 @@ def p8_leaks(spark: SparkSession, directory: str) -> DataFrame:
     return _leaks(spark, directory)
 
 
+def _truncated(spark: SparkSession, directory: str) -> DataFrame:
+    return find_truncated(read_table(spark, directory, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _truncated(spark, directory).where("cut").select("doc_id").distinct()
+
+
+def p9_sources(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation_by_source(_truncated(spark, directory), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_contents, p2_found, p2_groups, p4_found, p4_ranked, p5_found, p5_records, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_contents, p2_found, p2_groups, p3_found, p3_parts, p4_found, p4_ranked, p5_found, p5_records, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_sources)}
