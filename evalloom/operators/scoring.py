@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import tokens
+from evalloom.operators.corpus import with_suite
 from evalloom.operators.index import hashed_vectors, index_stats, postings, run_lengths, term_idf
-from evalloom.runtime import cut_lineage
+from evalloom.runtime import broadcast_if_small, cut_lineage
 
 K1, B = 1.5, 0.75
 PAIR = ("suite_id", "question_id", "chunk_id")
@@ -48,7 +49,7 @@ def overlap(index: Index) -> DataFrame:
 
 
 def bm25(index: Index) -> DataFrame:
-    rows = index.matches().join(F.broadcast(index.stats.select("suite_id", "avg_length")), "suite_id")
+    rows = index.matches().join(broadcast_if_small(index.stats.select("suite_id", "avg_length")), "suite_id")
     weight = F.col("bm25_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_length") / F.col("avg_length")))
     return _lexical(rows.groupBy(*PAIR).agg(F.sum(weight).alias("score")))
 
@@ -81,7 +82,7 @@ def hybrid(index: Index, suites: DataFrame) -> DataFrame:
     lexical = bm25(index).select(*PAIR, "lexical_score")
     vector = hashing(index).where("score > 0").select(*PAIR, "vector_score")
     rows = lexical.join(vector, list(PAIR), "full_outer").fillna(0.0, ["lexical_score", "vector_score"])
-    rows = rows.join(F.broadcast(suites.select("suite_id", "hybrid_weight")), "suite_id")
+    rows = with_suite(rows, suites, "hybrid_weight")
     score = F.col("hybrid_weight") * F.col("lexical_score") / (1 + F.col("lexical_score")) + (1 - F.col("hybrid_weight")) * F.col("vector_score")
     return rows.select(*PAIR, score.alias("score"), "lexical_score", "vector_score")
 
@@ -97,9 +98,8 @@ def score(strategy: str, index: Index, suites: DataFrame) -> DataFrame:
 
 def top_k(scored: DataFrame, suites: DataFrame) -> DataFrame:
     """The suite's `retrieval_k` best chunks of each question, with `rank` from 1; only positive scores."""
-    limits = suites.select("suite_id", "retrieval_k")
-    most = limits.agg(F.max("retrieval_k")).first()[0] or 1
+    most = suites.agg(F.max("retrieval_k")).first()[0] or 1
     order = Window.partitionBy("suite_id", "question_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     # The constant bound lets the plan cut groups before the shuffle.
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(most))
-    return ranked.join(F.broadcast(limits), "suite_id").where("rank <= retrieval_k").drop("retrieval_k")
+    return with_suite(ranked, suites, "retrieval_k").where("rank <= retrieval_k").drop("retrieval_k")
