@@ -18,7 +18,8 @@ def run_lengths(rows: DataFrame, array: str, *keep: str) -> DataFrame:
 
     Adds `token`, `tf` and `length` (of the whole array). Rows with an empty array give none.
     """
-    ordered = rows.select(*keep, F.array_sort(array).alias("sorted")).where(F.size("sorted") > 0)
+    # A generator keeps the sorted array from being computed again for each of its elements below.
+    ordered = rows.select(*keep, F.explode(F.array(F.array_sort(array))).alias("sorted")).where(F.size("sorted") > 0)
     last = F.size("sorted") - 1
     starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.element_at("sorted", i + 1) != F.element_at("sorted", F.greatest(i, F.lit(1)))))
     marked = ordered.withColumn("starts", starts).withColumn("length", F.size("sorted"))

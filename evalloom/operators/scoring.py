@@ -2,7 +2,7 @@
 
 Only chunks that share a token with a question can score above zero, so the scorers are equi-joins of question terms
 with postings. The hashed-vector scorer joins on slots instead. Scores are ranked after rounding to nine digits, as
-sums depend on their order in the last bits; ties go to the smaller chunk id.
+sums depend on their order in the last bits; ties go to the smaller chunk id, and what rounds to zero is no hit.
 """
 
 from __future__ import annotations
@@ -101,5 +101,5 @@ def top_k(scored: DataFrame, suites: DataFrame) -> DataFrame:
     most = suites.agg(F.max("retrieval_k")).first()[0] or 1
     order = Window.partitionBy("suite_id", "question_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     # The constant bound lets the plan cut groups before the shuffle.
-    ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(most))
+    ranked = scored.where(F.round("score", 9) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= int(most))
     return with_suite(ranked, suites, "retrieval_k").where("rank <= retrieval_k").drop("retrieval_k")

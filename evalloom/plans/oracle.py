@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _WORDS = r"[^\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -76,7 +78,7 @@ def _top(strategy: str, name: str) -> str:
   SELECT *, regexp_extract(chunk_id, '^(.*):\\d+:\\d+-\\d+$', 1) AS source_id FROM (
     SELECT s.suite_id, question_id, chunk_id, {_SCORES[strategy]} AS score, lexical_score, vector_score, retrieval_k,
       row_number() OVER (PARTITION BY s.suite_id, question_id ORDER BY round({_SCORES[strategy]}, 9) DESC, chunk_id) AS rank
-    FROM s_{strategy} s JOIN suites USING (suite_id) WHERE {_SCORES[strategy]} > 0)
+    FROM s_{strategy} s JOIN suites USING (suite_id) WHERE round({_SCORES[strategy]}, 9) > 0)
   WHERE rank <= retrieval_k)"""
 
 
@@ -85,7 +87,7 @@ claims AS (
   SELECT suite_id, question_id, CAST(pos - 1 AS INTEGER) AS claim_pos, coalesce(c.citations, []) AS citations, list_distinct({_tokens('c.text')}) AS tokens
   FROM (SELECT suite_id, question_id, unnest(claims) AS c, generate_subscripts(claims, 1) AS pos FROM asked)
 ), evidence AS (
-  SELECT suite_id, question_id, claim_pos, list_filter(any_value(citations), lambda x: NOT list_contains(coalesce(list(v.source_id) FILTER (WHERE v.source_id IS NOT NULL), []), x)) AS missing,
+  SELECT c.suite_id, question_id, claim_pos, list_filter(any_value(citations), lambda x: NOT list_contains(coalesce(list(v.source_id) FILTER (WHERE v.source_id IS NOT NULL), []), x)) AS missing,
     coalesce(flatten(list({_tokens('v.content')}) FILTER (WHERE v.source_id IS NOT NULL)), []) AS there
   FROM (SELECT suite_id, question_id, claim_pos, citations, unnest(CASE WHEN len(citations) = 0 THEN [NULL] ELSE citations END) AS cited FROM claims) c
   LEFT JOIN valid v ON v.suite_id = c.suite_id AND v.source_id = c.cited GROUP BY c.suite_id, question_id, claim_pos
@@ -143,7 +145,7 @@ def _record(columns: str) -> str:
 
 
 def _r6(*names: str) -> str:
-    return ", ".join(f"round_even({n}, 6) AS {n}" for n in names)
+    return ", ".join(f"round_even({n}, 6) + 0.0::DOUBLE AS {n}" for n in names)
 
 
 _METRICS = """
@@ -168,8 +170,6 @@ def _sweep() -> str:
     for n in shared:
         parts.append(f"{n} AS ({_CTES[n]})")
     parts.append(_SUPPORT.strip())
-    import re
-
     for size in (96, 200):
         own = [n for n in names[names.index("worded") : names.index("s_bm25") + 1] if n not in shared]
         rename = lambda sql, own=own, size=size: re.sub(rf"\b({'|'.join(own)})\b", rf"\1_{size}", sql)
@@ -184,7 +184,7 @@ def _sweep() -> str:
             parts.append(_judged(f"top_{size}_{strategy}", p).strip())
             rows.append(f"SELECT '{strategy}' AS strategy, {size} AS chunk_size, 16 AS chunk_overlap, * FROM ({_METRICS.format(records=f'{p}records')})")
     return "WITH " + ",\n".join(parts) + f""", runs AS ({" UNION ALL ".join(rows)}), scored AS (
-  SELECT *, round_even(0.4 * pass_rate + 0.2 * recall_at_k + 0.15 * ndcg_at_k + 0.15 * groundedness + 0.1 * no_answer_accuracy, 6) AS quality_score FROM runs)
+  SELECT *, round_even(round(0.4 * pass_rate + 0.2 * recall_at_k + 0.15 * ndcg_at_k + 0.15 * groundedness + 0.1 * no_answer_accuracy, 12), 6) AS quality_score FROM runs)
 SELECT suite_id, strategy, chunk_size, chunk_overlap, {_r6('pass_rate', 'recall_at_k', 'ndcg_at_k')}, quality_score,
   CAST(row_number() OVER (PARTITION BY suite_id ORDER BY quality_score DESC, round(pass_rate, 9) DESC, round(recall_at_k, 9) DESC, strategy, chunk_size, chunk_overlap) AS INTEGER) AS place FROM scored"""
 

@@ -62,7 +62,8 @@ def joined(column: str | Column) -> Column:
 
 
 def r6(name: str) -> Column:
-    return F.bround(name, 6).alias(name)
+    # Adding zero turns a negative zero into zero.
+    return (F.bround(name, 6) + F.lit(0.0)).alias(name)
 
 
 def contract_violations(spark: SparkSession, directory: str) -> DataFrame:

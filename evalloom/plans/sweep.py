@@ -68,6 +68,6 @@ def run(documents: DataFrame, questions: DataFrame, suites: DataFrame, configs:
     names = F.split("suite_id", "[\x1e\x1f]")
     rows = measured.drop("fresh_coverage").select(names[0].alias("suite_id"), names[1].cast("int").alias("chunk_size"), names[2].cast("int").alias("chunk_overlap"), names[3].alias("strategy"), *[c for c in measured.columns if c not in ("suite_id", "fresh_coverage")])
     rows = rows.join(configs, ["strategy", "chunk_size", "chunk_overlap"], "left_semi").join(inventory.select("suite_id", "fresh_coverage"), "suite_id")
-    rows = rows.withColumn("quality_score", F.bround(metrics.quality_score(), 6))
+    rows = rows.withColumn("quality_score", F.bround(F.round(metrics.quality_score(), 12), 6))
     best = Window.partitionBy("suite_id").orderBy(F.desc("quality_score"), F.desc(F.round("pass_rate", 9)), F.desc(F.round("recall_at_k", 9)), "strategy", "chunk_size", "chunk_overlap")
     return rows.withColumn("place", F.row_number().over(best))
