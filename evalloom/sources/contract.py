@@ -26,7 +26,7 @@ MAX_CONTENT, MAX_TEXT = 200_000, 10_000
 MAX_SUITE_BYTES, MAX_MANIFEST_BYTES, MAX_REPORT_BYTES = 5_000_000, 32 * 1024 * 1024, 64 * 1024 * 1024
 MAX_INDEX_CHUNKS = 100_000
 IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9._-]{0,63}")
-SEMVER = re.compile(r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?")
+SEMVER = re.compile(r"(?:0|[1-9]\d*)(?:\.(?:0|[1-9]\d*)){2}", re.ASCII)
 DIGEST = re.compile(r"[0-9a-f]{64}")
 
 
