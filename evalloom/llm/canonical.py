@@ -29,11 +29,13 @@ SEGMENT_WORDS = 8192
 #: Upper bound of the merged filter, which is sent to the executors. A fuller filter only lets more singletons pass.
 MAX_FILTER_BYTES = 32 << 20
 BITS_PER_HASH = 16
+# What may stand between the fields of a content.
+SEPARATORS = "\\r\\n\\x{85}\\x{2028}\\x{2029}\\x{B}\\x{C};|"
 
 
 def field_parts(content: Column) -> Column:
     """The parts of a content between line breaks, semicolons and bars that hold a letter or digit."""
-    parts = F.split(F.coalesce(content, F.lit("")), "[\\r\\n\\x{85}\\x{2028}\\x{2029}\\x{B}\\x{C};|]+")
+    parts = F.split(F.coalesce(content, F.lit("")), f"[{SEPARATORS}]+")
     return F.filter(parts, lambda p: p.rlike(f"[{ALNUM}]"))
 
 
@@ -44,9 +46,9 @@ def with_canonical_keys(df: DataFrame, content: str) -> DataFrame:
     without sentence punctuation, stands before the first colon or equals sign that is not between two digits, and a
     letter or digit after it.
     """
-    # Most contents are prose: the fields are split only where a separator and enough name marks occur.
+    # Most contents are prose: the fields are split only where there are enough separators and name marks.
     field = f"^[^:=.!?]{{0,60}}?\\p{{L}}[^:=.!?]{{0,60}}?(?:=|(?<!\\d):|:(?!\\d))(?s:.*)[{ALNUM}]"
-    may_be = F.col(content).rlike("(?s)[:=].*[\\r\\n\\x{85}\\x{2028}\\x{2029}\\x{B}\\x{C};|].*[:=].*[\\r\\n\\x{85}\\x{2028}\\x{2029}\\x{B}\\x{C};|].*[:=]")
+    may_be = (F.regexp_count(content, F.lit("[:=]")) >= 3) & (F.regexp_count(content, F.lit(f"[{SEPARATORS}]")) >= 2)
     parts = F.when(may_be, field_parts(F.col(content)))
     is_fields = (F.size(parts) >= 3) & F.forall(parts, lambda p: p.rlike(field))
     fields = F.array_join(F.array_sort(F.transform(parts, letters_only)), "\x01")
@@ -131,10 +133,10 @@ def group_by_canonical_content(df: DataFrame, id_col: str, content: str, keep: t
     """Groups the rows of `df` whose contents are the same but for formatting.
 
     Rows with a null or blank content, or one without letters and digits, form one group. `id_col` must be unique;
-    rows repeated in full are dropped first by the caller. An empty table gives empty groups. Columns other than
+    a row without an id belongs to no group and is left out. An empty table gives empty groups. Columns other than
     `id_col`, `content` and `keep` are ignored, whatever their names.
     """
-    rows = with_canonical_keys(df.select(F.col(id_col).alias("__id"), F.col(content).alias("__content"), *(F.col(c).alias(f"__k_{c}") for c in keep)), "__content").drop("__content")
+    rows = with_canonical_keys(df.select(F.col(id_col).alias("__id"), F.col(content).alias("__content"), *(F.col(c).alias(f"__k_{c}") for c in keep)).where("__id is not null"), "__content").drop("__content")
     rows = cut_lineage(rows)
     total = rows.count()
     probes = F.array_compact(F.array(F.xxhash64("letters_key"), F.when(F.col("fields_key").isNotNull(), F.xxhash64("fields_key"))))

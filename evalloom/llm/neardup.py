@@ -61,7 +61,7 @@ class RunHasher:
             if w not in known:
                 known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-        n = len(h) - RUN_WORDS + 1
+        n = max(0, len(h) - RUN_WORDS + 1)
         out = np.zeros(n, np.uint64)
         for k in range(RUN_WORDS):
             out = _mixed(out * _MIX + h[k : k + n])
@@ -76,7 +76,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = _WORD.findall(text.lower())
             if len(words) >= RUN_WORDS:
                 kept.append(at)
-                variants.append(xxhash.xxh3_128_digest(" ".join(words)))
+                variants.append(_variant(words))
                 runs.append(hasher(words))
         if not kept:
             continue
@@ -117,11 +117,18 @@ def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"rid": batch["rid"], "s0": packed[:, 0], "s1": packed[:, 1]})
 
 
+def _variant(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words))
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of the texts that are of the variant asked for: a key may have texts of several."""
     hasher = RunHasher()
     for batch in batches:
-        runs = [np.unique(hasher(_WORD.findall(text.lower()))).view(np.int64) for text in batch["text"]]
-        yield pd.DataFrame({"rid": batch["rid"], "letters_key": batch["letters_key"], "fields_key": batch["fields_key"], "runs": runs})
+        worded = [_WORD.findall(text.lower()) for text in batch["text"]]
+        same = [_variant(words) == variant for words, variant in zip(worded, batch["variant"], strict=True)]
+        runs = [np.unique(hasher(words)).view(np.int64) for words, ok in zip(worded, same, strict=True) if ok]
+        yield batch.loc[same, ["rid", "letters_key", "fields_key"]].assign(runs=runs)
 
 
 def _differing(a: str, b: str) -> Column:
@@ -206,10 +213,10 @@ def find_near_duplicates(items: DataFrame, threshold: float = 0.6) -> NearDuplic
     close = cut_lineage(candidates.where(distance <= MAX_DISTANCE).select("a", "b"))
 
     ends = close.select(F.col("a").alias("rid")).unionByName(close.select(F.col("b").alias("rid"))).distinct()
-    wanted = cut_lineage(variants.join(ends, "rid").select("kind", "key", "rid"))
-    texts = items.join(broadcast_if_small(wanted, 500_000), ["kind", "key"]).dropDuplicates(["rid"])
+    wanted = cut_lineage(variants.join(ends, "rid").select("kind", "key", "rid", "variant"))
+    texts = items.join(broadcast_if_small(wanted, 200_000), ["kind", "key"])
     texts = with_canonical_keys(texts, "text").withColumn("fields_key", F.when(F.col("fields"), F.col("fields_key")))
-    runs = texts.select("rid", "text", "letters_key", "fields_key").mapInPandas(_runs, "rid long, letters_key binary, fields_key binary, runs array<long>")
+    runs = texts.select("rid", "variant", "text", "letters_key", "fields_key").mapInPandas(_runs, "rid long, letters_key binary, fields_key binary, runs array<long>").dropDuplicates(["rid"])
     pairs = close
     for side in ("a", "b"):
         pairs = pairs.join(runs.select(F.col("rid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("letters_key", "fields_key", "runs"))), side)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,12 +86,12 @@ def find_truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFr
     greatest = broadcast_if_small(features.where("source is not null").groupBy("source").agg(F.max("chars").alias("max_chars"), F.max("bytes").alias("max_bytes")), 100_000)
     near = features.join(greatest, "source")
     at_chars, at_bytes = F.col("chars") == F.col("max_chars"), F.col("bytes").between(F.col("max_bytes") - 3, F.col("max_bytes"))
-    limits = near.where(at_chars | at_bytes).groupBy("source").agg(
-        (F.countDistinct(F.when(at_chars, F.col("text_hash"))) >= MIN_AT_LIMIT).alias("char_limit"),
-        (F.countDistinct(F.when(F.col("bytes") == F.col("max_bytes"), F.col("text_hash"))) >= MIN_AT_LIMIT).alias("byte_limit"),
-        F.max("max_chars").alias("max_chars"),
-        F.max("max_bytes").alias("max_bytes"),
-    )
+    # A length is a limit if enough different texts have it and most of them visibly end in the middle.
+    full_bytes = F.col("bytes") == F.col("max_bytes")
+    broken = F.col("closing").isin("prose", "mark", "residue")
+    texts = lambda *conditions: F.countDistinct(F.when(reduce(and_, conditions), F.col("text_hash")))
+    is_limit = lambda at: (texts(at) >= MIN_AT_LIMIT) & (2 * texts(at, broken) >= texts(at))
+    limits = near.where(at_chars | at_bytes).groupBy("source").agg(is_limit(at_chars).alias("char_limit"), is_limit(full_bytes).alias("byte_limit"), F.max("max_chars").alias("max_chars"), F.max("max_bytes").alias("max_bytes"))
     limited = features.join(broadcast_if_small(limits.where("char_limit or byte_limit"), 100_000), "source", "left")
     at_limit = F.coalesce((F.col("char_limit") & at_chars) | (F.col("byte_limit") & at_bytes), F.lit(False))
     judged = limited.select("id", "source", "closing", "dotted", at_limit.alias("at_limit"))
