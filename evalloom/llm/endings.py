@@ -36,13 +36,16 @@ def contexts(words: tuple[str, ...]) -> tuple[str, ...]:
     """The contexts of the last of up to three words, most telling first; each is a text of its own.
 
     Shapes stand in for names and numbers, but only after two other words; the one or two words that begin a text are
-    compared with those that begin others.
+    compared with those that begin others. What a sentence, line or field before ended with doesn't count as before.
     """
     shapes = [shape(w) for w in words]
     plain = ["#" if s == "#" else w.lower() for w, s in zip(words, shapes, strict=True)]
     if len(words) < 3:
         return (f"1 ^ {' '.join(plain)}",)
-    return (f"1 {' '.join(plain)}", f"2 {' '.join(plain[1:])}", f"3 {' '.join(shapes)}", f"4 {' '.join(shapes[1:])}", f"5 {shapes[2]}")
+    out = [f"1 {' '.join(plain)}", f"2 {' '.join(plain[1:])}"]
+    # Of names and numbers alone nothing follows.
+    out += [f"{3 + k} {' '.join(shapes[k:])}" for k in range(3) if any(s not in ("X", "#") for s in shapes[k:])]
+    return tuple(out)
 
 
 def ends_here(gap: str, following: str) -> bool:
@@ -74,6 +77,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if "." in gap:
                     counts[f". {word.lower()}"][mid] += 1
                 counts[f"w{word.lower()}"][0 if last and not gap.strip() else 1] += 1
+                if not mid:
+                    window = ()
         yield pd.DataFrame({"context": list(counts), "n_end": [x[0] for x in counts.values()], "n_mid": [x[1] for x in counts.values()]})
 
 
@@ -116,7 +121,10 @@ def _last_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not spans:
                 continue
             c = tail[spans[-1][0] : spans[-1][1]]
-            for level, context in enumerate(contexts(tuple(tail[s:e] for s, e in spans[-3:]))):
+            window: tuple[str, ...] = ()
+            for (start, end), (after, _) in zip(spans, spans[1:], strict=False):
+                window = () if ends_here(tail[end:after], tail[after]) else (*window[-1:], tail[start:end])
+            for level, context in enumerate(contexts((*window, c))):
                 ids.append(id_)
                 places.append(level)
                 found.append(context)
@@ -145,7 +153,7 @@ def ending_evidence(corpus: DataFrame, asked: DataFrame, copies_count: bool = Fa
     words = counts.where("context like 'w%'").select(F.expr("substring(context, 2)").alias("word"), "n_end", "n_mid")
     suspicious = words.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word").mapInPandas(_walk_trie, "word string, longer long")
     last = asked.mapInPandas(_last_words, f"id {kind}, level int, context string")
-    total = counts.where("context like '5%'").agg(F.sum(F.col("n_end") + F.col("n_mid"))).first()[0] or 0
+    total = counts.where("context like '2%'").agg(F.sum(F.col("n_end") + F.col("n_mid"))).first()[0] or 0
     stats = counts.where("context not like 'w%'").select("context", F.col("n_end").alias("x"), (F.col("n_end") + F.col("n_mid")).alias("n")).unionByName(suspicious.select(F.concat(F.lit("w"), "word").alias("context"), F.col("longer").alias("x"), F.lit(1).cast("long").alias("n")))
     found = join_weighted(last, cut_lineage(stats), "context", "n", total, 1 << 14)
     rate = F.col("x") / F.col("n")
