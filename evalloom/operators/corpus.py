@@ -11,7 +11,7 @@ from evalloom.runtime import broadcast_if_small
 
 def with_suite(rows: DataFrame, suites: DataFrame, *columns: str) -> DataFrame:
     """`rows` with columns of their suite; suites are few, but that is checked before one is broadcast."""
-    return rows.join(broadcast_if_small(suites.select("suite_id", *columns)), "suite_id")
+    return rows.join(broadcast_if_small(suites).select("suite_id", *columns), "suite_id")
 
 
 def first_of_each_source(documents: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def overlap(index: Index) -> DataFrame:
 
 
 def bm25(index: Index) -> DataFrame:
-    rows = index.matches().join(broadcast_if_small(index.stats.select("suite_id", "avg_length")), "suite_id")
+    rows = index.matches().join(broadcast_if_small(index.stats).select("suite_id", "avg_length"), "suite_id")
     weight = F.col("bm25_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_length") / F.col("avg_length")))
     return _lexical(rows.groupBy(*PAIR).agg(F.sum(weight).alias("score")))
 

@@ -145,7 +145,7 @@ def _record(columns: str) -> str:
 
 
 def _r6(*names: str) -> str:
-    return ", ".join(f"round_even({n}, 6) + 0.0::DOUBLE AS {n}" for n in names)
+    return ", ".join(f"round_even(round({n}, 12), 6) + 0.0::DOUBLE AS {n}" for n in names)
 
 
 _METRICS = """
@@ -220,7 +220,7 @@ WHERE violations <> ''""",
         "hashed_token_buckets": f"""SELECT token, CAST(('0x' || substr(sha256(token), 1, 8))::BIGINT % 128 AS INTEGER) AS bucket, CASE WHEN ('0x' || substr(sha256(token), 9, 2))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign
 FROM (SELECT DISTINCT unnest({_tokens('content')}) AS token FROM source_docs)""",
         "hashed_vectors": _with(f"SELECT suite_id, chunk_id, bucket, {_r6('w')} FROM chunk_vectors"),
-        "claim_support": _with("SELECT suite_id, question_id, claim_pos, round_even(coverage, 6) AS token_coverage, len(reasons) = 0 AS supported, array_to_string(reasons, ',') AS reasons FROM support", _SUPPORT),
+        "claim_support": _with("SELECT suite_id, question_id, claim_pos, round_even(round(coverage, 12), 6) + 0.0::DOUBLE AS token_coverage, len(reasons) = 0 AS supported, array_to_string(reasons, ',') AS reasons FROM support", _SUPPORT),
         "citation_errors": _record("array_to_string(citation_errors, ',') AS citation_errors, citations_valid"),
         "question_verdicts": _record("no_answer_correct, grounded, passed, array_to_string(failures, ',') AS failures"),
         "question_records": _record(f"adversarial, array_to_string(sources, ',') AS sources, {_r6('recall_at_k', 'precision_at_k', 'reciprocal_rank', 'ndcg_at_k', 'citation_precision', 'citation_recall')}, citations_valid, no_answer_correct, grounded, passed, array_to_string(failures, ',') AS failures"),

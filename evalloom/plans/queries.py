@@ -6,6 +6,7 @@ Documents are the first record of each source id of a suite; questions, suites a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,19 +27,19 @@ class Tables:
         self.questions = read_table(spark, directory, "questions")
         self.documents = corpus.first_of_each_source(read_table(spark, directory, "source_docs"))
 
-    @property
+    @cached_property
     def validated(self) -> DataFrame:
         return corpus.validate(self.documents, self.suites)
 
-    @property
+    @cached_property
     def valid(self) -> DataFrame:
         return self.validated.where("valid")
 
-    @property
+    @cached_property
     def chunks(self) -> DataFrame:
         return corpus.chunk(self.valid)
 
-    @property
+    @cached_property
     def asked(self) -> DataFrame:
         return judging.asked_questions(self.questions)
 
@@ -62,8 +63,8 @@ def joined(column: str | Column) -> Column:
 
 
 def r6(name: str) -> Column:
-    # Adding zero turns a negative zero into zero.
-    return (F.bround(name, 6) + F.lit(0.0)).alias(name)
+    # Sums depend on their order in the last digits: these go first, so that halves are rounded alike. Adding zero turns a negative zero into zero.
+    return (F.bround(F.round(name, 12), 6) + F.lit(0.0)).alias(name)
 
 
 def contract_violations(spark: SparkSession, directory: str) -> DataFrame:

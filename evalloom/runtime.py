@@ -42,8 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """`df` with a broadcast hint when a count stopped at `max_rows` proves it small; otherwise `df`, to be joined by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """`df` with a broadcast hint when a count stopped at `max_rows` proves it small; otherwise `df`, to be joined by shuffle. The outcome is remembered."""
+    known = df.__dict__.setdefault("_evalloom_small", {})
+    if max_rows not in known:
+        known[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if known[max_rows] else df
 
 
 def join_weighted(big: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, share: int = 1024) -> DataFrame:
