@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.canonical import CanonicalGroups, group_by_canonical_content
+from evalloom.llm.consensus import consensus_values
 from evalloom.llm.leakage import find_leaks
 from evalloom.llm.neardup import NearDuplicates, find_near_duplicates
 from evalloom.llm.packing import pack_texts
@@ -78,6 +79,13 @@ def p5_records(spark: SparkSession, directory: str) -> DataFrame:
     return _survivors(spark, directory)
 
 
+def p5_consensus(spark: SparkSession, directory: str) -> DataFrame:
+    """Fields without a rule of their own: the title and address most of a set's records agree on, by their trust."""
+    members = _canonical(spark, directory, "trust", "title", "source_url").members
+    weight = F.when(F.lower(F.trim("trust")) == "trusted", 3).when(F.lower(F.trim("trust")) == "untrusted", 2).otherwise(1)
+    return consensus_values(members.withColumn("weight", weight), "first_id", "record_id", "weight", ("title", "source_url")).withColumnRenamed("first_id", "first_record_id")
+
+
 def _pieces(spark: SparkSession, directory: str) -> DataFrame:
     suites = broadcast_if_small(read_table(spark, directory, "suites").select("suite_id", F.col("chunk_size").alias("size"), F.col("chunk_overlap").alias("overlap")).dropDuplicates(["suite_id"]))
     records = read_table(spark, directory, "source_docs").select(F.lit("record").alias("kind"), F.col("record_id").cast("string").alias("key"), F.col("content").alias("text"), "suite_id")
@@ -127,4 +135,4 @@ def p9_sources(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_contents, p2_found, p2_groups, p3_found, p3_parts, p4_found, p4_ranked, p5_found, p5_records, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_sources)}
+    return {f.__name__: f for f in (p1_found, p1_contents, p2_found, p2_groups, p3_found, p3_parts, p4_found, p4_ranked, p5_found, p5_records, p5_consensus, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_sources)}
