@@ -60,6 +60,20 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _CANON + " SELECT first_id AS first_record_id, record_id AS copy_record_id FROM members WHERE record_id <> first_id",
         "p1_contents": _CANON + " SELECT first_id AS first_record_id, copies FROM members WHERE record_id = first_id",
+        "p2_found": _CANON
+        + rf"""
+, items AS (
+  SELECT 'record' AS item_kind, CAST(record_id AS VARCHAR) AS item_key, content AS text, root FROM spelled JOIN source_docs USING (record_id) WHERE content IS NOT NULL
+  UNION ALL SELECT DISTINCT 'chunk', chunk_id, text, regexp_replace(lower(text), '{_ALNUM}', '', 'g') FROM chunks WHERE text IS NOT NULL
+), worded AS (
+  SELECT item_kind, item_key, root, string_split(trim(regexp_replace(lower(text), '{_ALNUM}', ' ', 'g')), ' ') AS w FROM items
+), runs AS (
+  SELECT DISTINCT item_kind, item_key, root, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT *, unnest(generate_series(1, len(w) - 2)) AS i FROM worded)
+), sized AS (
+  SELECT *, count(*) OVER (PARTITION BY item_kind, item_key) AS n FROM runs
+)
+SELECT a.item_kind, a.item_key AS low_key, b.item_key AS high_key FROM sized a JOIN sized b ON a.item_kind = b.item_kind AND a.run = b.run AND a.item_key < b.item_key AND a.root <> b.root
+GROUP BY ALL HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6::DOUBLE""",
         "p4_found": _LATEST + " SELECT question_id, chunk_id FROM placed WHERE place <= 5",
         "p4_ranked": _LATEST + " SELECT question_id, CAST(place AS INTEGER) AS place, chunk_id, score FROM placed WHERE place <= 5",
         "p5_found": _SURVIVORS + " SELECT first_id AS first_record_id, field_name, record_id AS from_record_id FROM survivors",
