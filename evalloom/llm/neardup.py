@@ -32,6 +32,8 @@ CHUNKS, CHUNK_SYMBOLS, CHUNK_ERRORS = 8, 4, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Differing symbols beyond which a candidate can be dropped: 3.3 standard deviations above the mean of similarity 0.6.
 MAX_DISTANCE = 21
+#: The same for the half of the signature that a key isn't from: 3.1 standard deviations.
+MAX_HALF_DISTANCE = 12
 #: Members of one variant that one task expands.
 EXPANDED_TOGETHER = 20_000
 
@@ -89,14 +91,21 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"kind": batch["kind"].to_numpy()[kept], "key": batch["key"].to_numpy()[kept], "variant": variants, "sig": [row.tobytes() for row in symbols]})
 
 
+def _short(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the signatures, and these with 4 bits each, packed into two longs: one for each half of the chunks."""
+    symbols = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
+    halves = symbols.reshape(-1, 2, SYMBOLS // 2) & np.uint64(15)
+    return symbols, (halves << (np.arange(SYMBOLS // 2, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def _chunk_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each chunk and each choice of symbols that may be wrong in it, a hash of the others."""
+    """For each chunk and each choice of symbols that may be wrong in it, a hash of the others; with it goes the short signature of the half that the chunk isn't in."""
     for batch in batches:
         if not len(batch):
             continue
-        symbols = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
+        symbols, halves = _short(batch)
         kind = np.array([xxhash.xxh3_64_intdigest(k) for k in batch["kind"]], np.uint64)
-        keys = []
+        keys, others = [], []
         for chunk in range(CHUNKS):
             for wrong in range(CHUNK_SYMBOLS):
                 x = kind + np.uint64(chunk * CHUNK_SYMBOLS + wrong)
@@ -104,17 +113,16 @@ def _chunk_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if k != wrong:
                         x = _mixed(x * _MIX + symbols[:, chunk * CHUNK_SYMBOLS + k] + np.uint64(1))
                 keys.append(x)
-        yield pd.DataFrame({"key": np.stack(keys, 1).ravel().view(np.int64), "rid": np.repeat(batch["rid"].to_numpy(), len(keys))})
+                others.append(halves[:, 1 if chunk < CHUNKS // 2 else 0])
+        yield pd.DataFrame({"key": np.stack(keys, 1).ravel().view(np.int64), "rid": np.repeat(batch["rid"].to_numpy(), len(keys)), "half": np.stack(others, 1).ravel()})
 
 
 def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The signatures with 4 bits a symbol, as two longs."""
     for batch in batches:
-        if not len(batch):
-            continue
-        symbols = np.frombuffer(b"".join(batch["sig"]), np.uint16).reshape(-1, 2, 16).astype(np.uint64) & np.uint64(15)
-        packed = (symbols << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"rid": batch["rid"], "s0": packed[:, 0], "s1": packed[:, 1]})
+        if len(batch):
+            _, halves = _short(batch)
+            yield pd.DataFrame({"rid": batch["rid"], "s0": halves[:, 0], "s1": halves[:, 1]})
 
 
 def _variant(words: list[str]) -> bytes:
@@ -203,8 +211,9 @@ def find_near_duplicates(items: DataFrame, threshold: float = 0.6) -> NearDuplic
     variants = cut_lineage(variants.withColumn("rid", F.monotonically_increasing_id()))
     members = signed.select("kind", "key", "variant").distinct().join(variants.select("kind", "variant", "rid", "n"), ["kind", "variant"]).drop("variant")
 
-    keyed = variants.select("rid", "kind", "sig").mapInPandas(_chunk_keys, "key long, rid long")
-    met = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") < F.col("r.rid")))
+    # What meets by chance in a key is told by the other half of the signatures, before it is shuffled.
+    keyed = variants.select("rid", "kind", "sig").mapInPandas(_chunk_keys, "key long, rid long, half long")
+    met = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") < F.col("r.rid")) & (_differing("l.half", "r.half") <= MAX_HALF_DISTANCE))
     candidates = met.select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b")).distinct()
     short = variants.select("rid", "sig").mapInPandas(_shortened, "rid long, s0 long, s1 long")
     for side in ("a", "b"):
