@@ -25,6 +25,9 @@ WORD = re.compile(r"[^\W_]+")
 #: A context with fewer occurrences than this says nothing.
 MIN_SUPPORT = 12
 LEVELS = 5
+#: Counts that a task holds before it passes them on.
+HELD = 400_000
+_CLASSES = frozenset("X#")
 
 
 def shape(word: str) -> str:
@@ -32,26 +35,41 @@ def shape(word: str) -> str:
     return "#" if any(c.isdigit() for c in word) else "X" if word[0].isupper() else word
 
 
-def contexts(words: tuple[str, ...]) -> tuple[str, ...]:
-    """The contexts of the last of up to three words, most telling first; each is a text of its own.
+class Forms(dict):
+    """A word as it is compared and its shape; remembered, up to a bound."""
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        if len(self) > 200_000:
+            self.clear()
+        kind = shape(word)
+        self[word] = form = ("#" if kind == "#" else word.lower()), kind
+        return form
+
+
+def contexts(window: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
+    """The contexts of the last of up to three words (their `Forms`), most telling first; each is a text of its own.
 
     Shapes stand in for names and numbers, but only after two other words; the one or two words that begin a text are
     compared with those that begin others. What a sentence, line or field before ended with doesn't count as before.
     """
-    shapes = [shape(w) for w in words]
-    plain = ["#" if s == "#" else w.lower() for w, s in zip(words, shapes, strict=True)]
-    if len(words) < 3:
-        return (f"1 ^ {' '.join(plain)}",)
-    out = [f"1 {' '.join(plain)}", f"2 {' '.join(plain[1:])}"]
+    if len(window) < 3:
+        return ("1 ^ " + " ".join([w[0] for w in window]),)
+    (pa, sa), (pb, sb), (pc, sc) = window
+    both, shapes = f"{pb} {pc}", f"{sb} {sc}"
     # Of names and numbers alone nothing follows.
-    out += [f"{3 + k} {' '.join(shapes[k:])}" for k in range(3) if any(s not in ("X", "#") for s in shapes[k:])]
-    return tuple(out)
+    if sc not in _CLASSES:
+        return (f"1 {pa} {both}", f"2 {both}", f"3 {sa} {shapes}", f"4 {shapes}", f"5 {sc}")
+    if sb not in _CLASSES:
+        return (f"1 {pa} {both}", f"2 {both}", f"3 {sa} {shapes}", f"4 {shapes}")
+    return (f"1 {pa} {both}", f"2 {both}", f"3 {sa} {shapes}") if sa not in _CLASSES else (f"1 {pa} {both}", f"2 {both}")
 
 
 def ends_here(gap: str, following: str) -> bool:
     """Whether what stands between a word and the `following` one ends a sentence, line or field."""
     if not following:
         return True
+    if gap == " ":
+        return False
     if any(x in gap for x in "\n;|!?…"):
         return True
     at = gap.find(".")
@@ -59,27 +77,39 @@ def ends_here(gap: str, following: str) -> bool:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch: of each context, how often it ends something and how often it doesn't; of each word, how often it stands last in a text without punctuation and how often elsewhere."""
+    """Counts, passed on in parts: of each context, how often it ends something and how often it doesn't; of each word, how often it stands last in a text without punctuation and how often elsewhere."""
+    forms = Forms()
+    ends: dict[str, int] = defaultdict(int)
+    mids: dict[str, int] = defaultdict(int)
+
+    def counted() -> pd.DataFrame:
+        found = list(ends.keys() | mids.keys())
+        out = pd.DataFrame({"context": found, "n_end": [ends.get(c, 0) for c in found], "n_mid": [mids.get(c, 0) for c in found]})
+        ends.clear()
+        mids.clear()
+        return out
+
     for batch in batches:
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for text in batch["text"]:
             spans = [m.span() for m in WORD.finditer(text)]
-            window: tuple[str, ...] = ()
+            window: tuple = ()
             for k, (start, end) in enumerate(spans):
                 word = text[start:end]
                 last = k + 1 == len(spans)
                 gap = text[end:] if last else text[end : spans[k + 1][0]]
-                following = "" if last else text[spans[k + 1][0]]
-                mid = 0 if ends_here(gap, following) else 1
-                window = (*window[-2:], word)
+                end_here = ends_here(gap, "" if last else text[spans[k + 1][0]])
+                counts = ends if end_here else mids
+                window = (*window[-2:], forms[word])
                 for context in contexts(window):
-                    counts[context][mid] += 1
+                    counts[context] += 1
                 if "." in gap:
-                    counts[f". {word.lower()}"][mid] += 1
-                counts[f"w{word.lower()}"][0 if last and not gap.strip() else 1] += 1
-                if not mid:
+                    counts[f". {word.lower()}"] += 1
+                (ends if last and not gap.strip() else mids)[f"w{word.lower()}"] += 1
+                if end_here:
                     window = ()
-        yield pd.DataFrame({"context": list(counts), "n_end": [x[0] for x in counts.values()], "n_mid": [x[1] for x in counts.values()]})
+            if len(ends) + len(mids) > HELD:
+                yield counted()
+    yield counted()
 
 
 def _walk_trie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,6 +142,7 @@ def _walk_trie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _last_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forms = Forms()
     for batch in batches:
         ids, places, found, words, dots = [], [], [], [], []
         for id_, text in zip(batch["id"], batch["text"], strict=True):
@@ -121,10 +152,10 @@ def _last_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not spans:
                 continue
             c = tail[spans[-1][0] : spans[-1][1]]
-            window: tuple[str, ...] = ()
+            window: tuple = ()
             for (start, end), (after, _) in zip(spans, spans[1:], strict=False):
-                window = () if ends_here(tail[end:after], tail[after]) else (*window[-1:], tail[start:end])
-            for level, context in enumerate(contexts((*window, c))):
+                window = () if ends_here(tail[end:after], tail[after]) else (*window[-1:], forms[tail[start:end]])
+            for level, context in enumerate(contexts((*window, forms[c]))):
                 ids.append(id_)
                 places.append(level)
                 found.append(context)
