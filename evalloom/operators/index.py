@@ -28,14 +28,22 @@ def run_lengths(rows: DataFrame, array: str, *keep: str) -> DataFrame:
     return runs.select(*keep, F.element_at("sorted", F.col("start") + 1).alias("token"), (following - F.col("start")).alias("tf"), "length")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings_of(token_lists: DataFrame) -> DataFrame:
     """suite_id, chunk_id, token, tf and the chunk's length in tokens."""
-    return run_lengths(tokenized(chunks), "tokens", "suite_id", "chunk_id")
+    return run_lengths(token_lists, "tokens", "suite_id", "chunk_id")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    return postings_of(tokenized(chunks))
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
+    return stats_of(tokenized(chunks))
+
+
+def stats_of(token_lists: DataFrame) -> DataFrame:
     """Number of chunks and mean length in tokens of each suite, chunks without tokens included."""
-    return tokenized(chunks).groupBy("suite_id").agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avg_length"))
+    return token_lists.groupBy("suite_id").agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avg_length"))
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

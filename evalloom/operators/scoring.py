@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions.text import tokens
 from evalloom.operators.corpus import with_suite
-from evalloom.operators.index import hashed_vectors, index_stats, postings, run_lengths, term_idf
+from evalloom.operators.index import hashed_vectors, postings_of, run_lengths, stats_of, term_idf, tokenized
 from evalloom.runtime import broadcast_if_small, cut_lineage
 
 K1, B = 1.5, 0.75
@@ -25,8 +25,10 @@ class Index:
     """Postings, statistics and terms of the chunks; postings are written once and shared by all strategies."""
 
     def __init__(self, chunks: DataFrame, questions: DataFrame):
-        self.posted = cut_lineage(postings(chunks))
-        self.stats = cut_lineage(index_stats(chunks))  # one row a suite
+        # Documents are validated, cut and tokenised once for both.
+        token_lists = cut_lineage(tokenized(chunks))
+        self.posted = cut_lineage(postings_of(token_lists))
+        self.stats = cut_lineage(stats_of(token_lists))  # one row a suite
         self.terms = cut_lineage(term_idf(self.posted, self.stats))
         asked = questions.select("suite_id", "question_id", tokens(F.col("text")).alias("tokens"))
         self.asked = cut_lineage(run_lengths(asked, "tokens", "suite_id", "question_id").withColumnRenamed("tf", "qtf"))
