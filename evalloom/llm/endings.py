@@ -169,7 +169,7 @@ def ending_evidence(corpus: DataFrame, asked: DataFrame, copies_count: bool = Fa
     """What the corpus (`text`) says about the end of each of the texts asked about (`id`, `text`).
 
     Result: `id`, `end_rate` (of the most telling context with enough occurrences, the share that ends something; null if
-    there is none), `dot_rate` (of the last word's occurrences before a full stop, the share where that ends a
+    there is none), `exact` (whether that context is the last three words themselves), `dot_rate` (of the last word's occurrences before a full stop, the share where that ends a
     sentence; null if the text has no full stop after it or there are too few), `longer` (how often words occur of which
     the last word, unknown elsewhere, is a proper prefix; null if it is known or no such prefix). Texts without a word
     and null texts give no row. Repeated texts count once, unless `copies_count`: short replies are rightly the same.
@@ -189,8 +189,8 @@ def ending_evidence(corpus: DataFrame, asked: DataFrame, copies_count: bool = Fa
     found = join_weighted(last, cut_lineage(stats), "context", "n", total, 1 << 14)
     rate = F.col("x") / F.col("n")
     rows = found.groupBy("id").agg(
-        F.min(F.when(F.col("level") < LEVELS, F.struct("level", rate.alias("rate")))).alias("best"),
+        F.min(F.when(F.col("level") < LEVELS, F.struct("level", rate.alias("rate"), ((F.col("level") == 0) & ~F.col("context").startswith("1 ^ ")).alias("exact")))).alias("best"),
         F.max(F.when(F.col("level") == LEVELS, F.col("x"))).alias("longer"),
         F.max(F.when(F.col("level") == LEVELS + 1, rate)).alias("dot_rate"),
     )
-    return rows.select("id", F.col("best.rate").alias("end_rate"), "dot_rate", "longer")
+    return rows.select("id", F.col("best.rate").alias("end_rate"), F.coalesce("best.exact", F.lit(False)).alias("exact"), "dot_rate", "longer")

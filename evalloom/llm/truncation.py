@@ -4,7 +4,8 @@ Method: the vocabulary of all texts as a trie; a text whose last word is unknown
 cut inside it. Beside it stand the length evidence (many different texts of a source end at its greatest length, in
 characters or bytes), what a transfer leaves behind at the end, the punctuation, and how often the last words end
 anything anywhere in the corpus. A list entry, a field, a signature or an address at the end is complete as it is,
-unless the trie, the length or the corpus says otherwise.
+unless the trie, the length or the corpus says otherwise. Prose without a stop is cut, unless neither the trie nor the
+length shows it and the corpus says that its last three words nearly always end something.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ MIN_AT_LIMIT = 3
 #: Below this share of ends, the last words don't end anything.
 LOW_END_RATE = 0.05
 LOW_DOT_RATE = 0.1
+#: From this share of ends on, the same three last words are taken for an end that only lacks its stop.
+HIGH_END_RATE = 0.95
 
 _RESIDUE = re.compile(r"(?:…|\.\.\.|\[\.\.\.\]|\[…\]|�)[\s\")\]”»]*$|(?:<[^<>\s]{0,12}|&\w{0,8})$")
 _CLOSED_MARKUP = re.compile(r"(?:<[^<>]*>|&\w+;|[\s​﻿])+$")
@@ -35,6 +38,9 @@ _ADDRESS = re.compile(r"(?:(?:https?|ftp)://|www\.)\S+$|\S+@\S+\.\S+$")
 _SIGNATURE = re.compile(r"[^\W\d_][^\d.,:;!?\n]{1,40}, [^\W\d_][^\d.,:;!?\n]{1,40}$")
 _FIELD = re.compile(r"[^:=.!?]{0,60}?[^\W\d_][^:=.!?]{0,60}?(?::\s|\s*=)\s*\S")
 
+#: Marks at the end that something was to follow.
+_GOES_ON = re.compile(r"[,;:(\[{“„«/&+=<–—-]$")
+
 
 def closing(text: str) -> str:
     """How a text closes: 'stop', 'residue' (marks of a broken transfer), 'mark' (other punctuation), 'list', 'address', 'signature', 'field', 'prose', or 'none' for a text without words."""
@@ -68,7 +74,7 @@ def closing(text: str) -> str:
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch[["id", "source", "chars", "bytes", "text_hash"]].assign(closing=[closing(t) for t in batch["text"]], dotted=[bool(re.search(r"[^\W\d_]\.[\"'”’»)\]*_]*$", t.rstrip()[-16:])) for t in batch["text"]])
+        yield batch[["id", "source", "chars", "bytes", "text_hash"]].assign(closing=[closing(t) for t in batch["text"]], dotted=[bool(re.search(r"[^\W\d_]\.[\"'”’»)\]*_]*$", t.rstrip()[-16:])) for t in batch["text"]], goes_on=[bool(_GOES_ON.search(t[-64:].rstrip("\u200b\ufeff \t\r\n\xa0"))) for t in batch["text"]])
 
 
 def find_truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
@@ -79,7 +85,7 @@ def find_truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFr
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     measured = rows.select("*", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"))
-    schema = f"id {dict(df.dtypes)[id_col]}, source string, chars int, bytes int, text_hash long, closing string, dotted boolean"
+    schema = f"id {dict(df.dtypes)[id_col]}, source string, chars int, bytes int, text_hash long, closing string, dotted boolean, goes_on boolean"
     features = cut_lineage(measured.mapInPandas(_features, schema))
 
     # A source's greatest lengths, and how many different texts have them.
@@ -94,16 +100,19 @@ def find_truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFr
     limits = near.where(at_chars | at_bytes).groupBy("source").agg(is_limit(at_chars).alias("char_limit"), is_limit(full_bytes).alias("byte_limit"), F.max("max_chars").alias("max_chars"), F.max("max_bytes").alias("max_bytes"))
     limited = features.join(broadcast_if_small(limits.where("char_limit or byte_limit"), 100_000), "source", "left")
     at_limit = F.coalesce((F.col("char_limit") & at_chars) | (F.col("byte_limit") & at_bytes), F.lit(False))
-    judged = limited.select("id", "source", "closing", "dotted", at_limit.alias("at_limit"))
+    judged = limited.select("id", "source", "closing", "dotted", "goes_on", at_limit.alias("at_limit"))
 
-    # Only where the end itself leaves a doubt is the corpus asked.
-    doubtful = judged.where("closing in ('list', 'address', 'signature', 'field') or (closing = 'stop' and dotted)").select("id")
+    # The corpus is asked about every end but a clean stop and what a transfer left behind.
+    doubtful = judged.where("closing in ('list', 'address', 'signature', 'field', 'prose', 'mark') or (closing = 'stop' and dotted)").select("id")
     asked = rows.select("id", "text").where(F.length("text") > 0)
     evidence = ending_evidence(rows.select("text"), asked.join(doubtful, "id", "left_semi"))
     known = judged.join(evidence, "id", "left")
+    shown = F.col("at_limit") | F.col("longer").isNotNull()
+    whole = ~F.col("goes_on") & F.coalesce(F.col("exact") & (F.col("end_rate") >= HIGH_END_RATE), F.lit(False))
     cut = (
-        F.when(F.col("closing").isin("residue", "mark", "prose"), F.lit(True))
-        .when(F.col("closing").isin("list", "address", "signature", "field"), F.col("at_limit") | F.col("longer").isNotNull() | F.coalesce(F.col("end_rate") < LOW_END_RATE, F.lit(False)))
+        F.when(F.col("closing") == "residue", F.lit(True))
+        .when(F.col("closing").isin("mark", "prose"), shown | ~whole)
+        .when(F.col("closing").isin("list", "address", "signature", "field"), shown | F.coalesce(F.col("end_rate") < LOW_END_RATE, F.lit(False)))
         .when((F.col("closing") == "stop") & F.col("dotted"), F.coalesce(F.col("dot_rate") < LOW_DOT_RATE, F.lit(False)))
         .otherwise(F.lit(False))
     )

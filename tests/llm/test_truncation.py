@@ -41,3 +41,11 @@ def test_edge_cases(spark):
     assert run(spark, []) == {}
     got = run(spark, [("word " * 300_000, "a"), ("w" * 1_000_000 + ".", "a")])
     assert got[0].cut and not got[1].cut
+
+
+def test_prose_is_held_against_trie_and_corpus(spark):
+    rows = [(f"Room {n} was painted. Room {n} is kept by the harbour board.", "a") for n in "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()]
+    ends = ["Room forty is kept by the harbour board", "Room forty is kept by the harbour bo", "Room forty is kept by the harbour", "Room forty is kept by the harbour board,"]
+    got = run(spark, rows + [(e, "b") for e in ends] + [("A longer text of the same source, which ends where it should.", "b")])
+    assert [got[14 + i].cut for i in range(4)] == [False, True, True, True] and not any(got[i].cut for i in range(14))
+    assert got[15].longer and got[16].end_rate < 0.1 and got[14].end_rate > 0.95
