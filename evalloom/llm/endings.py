@@ -184,9 +184,10 @@ def ending_evidence(corpus: DataFrame, asked: DataFrame, copies_count: bool = Fa
     words = counts.where("context like 'w%'").select(F.expr("substring(context, 2)").alias("word"), "n_end", "n_mid")
     suspicious = words.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word").mapInPandas(_walk_trie, "word string, longer long")
     last = asked.mapInPandas(_last_words, f"id {kind}, level int, context string")
-    total = counts.where("context like '2%'").agg(F.sum(F.col("n_end") + F.col("n_mid"))).first()[0] or 0
-    stats = counts.where("context not like 'w%'").select("context", F.col("n_end").alias("x"), (F.col("n_end") + F.col("n_mid")).alias("n")).unionByName(suspicious.select(F.concat(F.lit("w"), "word").alias("context"), F.col("longer").alias("x"), F.lit(1).cast("long").alias("n")))
-    found = join_weighted(last, cut_lineage(stats), "context", "n", total, 1 << 14)
+    stats = cut_lineage(counts.where("context not like 'w%'").select("context", F.col("n_end").alias("x"), (F.col("n_end") + F.col("n_mid")).alias("n")).unionByName(suspicious.select(F.concat(F.lit("w"), "word").alias("context"), F.col("longer").alias("x"), F.lit(1).cast("long").alias("n"))))
+    # Every level counts the same places again.
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    found = join_weighted(last, stats, "context", "n", total, 1 << 14)
     rate = F.col("x") / F.col("n")
     rows = found.groupBy("id").agg(
         F.min(F.when(F.col("level") < LEVELS, F.struct("level", rate.alias("rate"), ((F.col("level") == 0) & ~F.col("context").startswith("1 ^ ")).alias("exact")))).alias("best"),

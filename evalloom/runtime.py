@@ -50,12 +50,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
 
 
 def join_weighted(big: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, share: int = 1024) -> DataFrame:
-    """Inner join of `big` with `keyed`, which has one row a `key` and in `weight` how many rows of `big` the key has.
+    """Inner join of `big` with `keyed`, which has one row a `key` and in `weight` about how many rows of `big` the key has.
 
-    A key with `total / share` rows or more would overload one task. There can be at most `share` such keys,
-    so their side is broadcast and the rows stay where they are; the others meet by shuffle.
+    A key with `total / share` rows or more would overload one task, so the side of such keys is broadcast and the rows
+    stay where they are; the others meet by shuffle. Where `total` is the sum of the weights at most `share` keys are
+    that heavy. A count proves it; if there are more, only keys heavier than the one after the first `share` are broadcast.
     """
     limit = max(1, total // share)
-    hot = keyed.where(F.col(weight) >= limit).limit(share)
-    cold = keyed.where(F.col(weight) < limit)
-    return big.join(F.broadcast(hot), key).unionByName(big.join(cold, key))
+    if keyed.where(F.col(weight) >= limit).limit(share + 1).count() > share:
+        limit = keyed.select(weight).orderBy(F.desc(weight)).offset(share).first()[0] + 1
+    heavy = F.coalesce(F.col(weight) >= limit, F.lit(False))
+    return big.join(F.broadcast(keyed.where(heavy)), key).unionByName(big.join(keyed.where(~heavy), key))
