@@ -8,6 +8,7 @@ sums depend on their order in the last bits; ties go to the smaller chunk id, an
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ class Index:
         asked = questions.select("suite_id", "question_id", tokens(F.col("text")).alias("tokens"))
         self.asked = cut_lineage(run_lengths(asked, "tokens", "suite_id", "question_id").withColumnRenamed("tf", "qtf"))
 
+    def of(self, suites: DataFrame) -> Index:
+        """The part of the index that belongs to some suites."""
+        part, keys = copy(self), broadcast_if_small(suites.select("suite_id"))
+        for name in ("posted", "stats", "terms", "asked"):
+            setattr(part, name, getattr(self, name).join(keys, "suite_id", "left_semi"))
+        return part
+
     def matches(self) -> DataFrame:
         """Question terms with the postings of the same token in the suite, and the term's statistics."""
         known = self.asked.join(self.terms, ["suite_id", "token"])

@@ -243,4 +243,9 @@ WHERE a.passed IS DISTINCT FROM b.passed OR x.r IS DISTINCT FROM y.r""",
         out[f"topk_{strategy}"] = _with(f"SELECT suite_id, question_id, CAST(rank AS INTEGER) AS rank, chunk_id, {_r6('score', 'lexical_score', 'vector_score')} FROM top", _top(strategy, "top"))
     for name in ("recall_at_k", "precision_at_k", "reciprocal_rank", "ndcg_at_k"):
         out[name] = _record(_r6(name))
+    # The same over what each suite's own strategy finds.
+    tops = [_top(s, f"top_{s}") for s in _SCORES]
+    own = "top AS (" + " UNION ALL ".join(f"SELECT t.* FROM top_{s} t JOIN suites u USING (suite_id) WHERE coalesce(u.retrieval_strategy, 'overlap') = '{s}'" for s in _SCORES) + ")"
+    for name in ("question_records", "suite_metrics", "citation_errors"):
+        out[f"own_{name}"] = out[name].replace(_top("bm25", "top").strip(), ",\n".join([*tops, own]))
     return out

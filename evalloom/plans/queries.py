@@ -6,7 +6,7 @@ Documents are the first record of each source id of a suite; questions, suites a
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +49,16 @@ class Tables:
     def retrieved(self, strategy: str) -> DataFrame:
         return with_source(scoring.top_k(scoring.score(strategy, self.index(), self.suites), self.suites))
 
-    def records(self, strategy: str = "bm25") -> DataFrame:
-        return judging.judge(self.questions, self.retrieved(strategy), self.valid, self.suites)
+    def retrieved_by_own(self) -> DataFrame:
+        """What each suite's own strategy finds; a suite that names none is ranked by overlap."""
+        built, own, parts = self.index(), F.coalesce("retrieval_strategy", F.lit("overlap")), []
+        for strategy in sorted(r[0] for r in self.suites.select(own).distinct().collect()) or ["overlap"]:
+            suites = self.suites.where(own == strategy)
+            parts.append(scoring.top_k(scoring.score(strategy, built.of(suites), suites), suites))
+        return with_source(reduce(DataFrame.unionByName, parts))
+
+    def records(self, strategy: str = "bm25", own: bool = False) -> DataFrame:
+        return judging.judge(self.questions, self.retrieved_by_own() if own else self.retrieved(strategy), self.valid, self.suites)
 
 
 def with_source(retrieved: DataFrame) -> DataFrame:
@@ -179,28 +187,28 @@ def claim_support(spark: SparkSession, directory: str) -> DataFrame:
     return judging.claim_support(t.asked, t.valid).select("suite_id", "question_id", "claim_pos", r6("token_coverage"), "supported", joined("reasons").alias("reasons"))
 
 
-def citation_errors(spark: SparkSession, directory: str) -> DataFrame:
-    return Tables(spark, directory).records().select("suite_id", "question_id", joined("citation_errors").alias("citation_errors"), "citations_valid")
+def citation_errors(spark: SparkSession, directory: str, own: bool = False) -> DataFrame:
+    return Tables(spark, directory).records(own=own).select("suite_id", "question_id", joined("citation_errors").alias("citation_errors"), "citations_valid")
 
 
 def question_verdicts(spark: SparkSession, directory: str) -> DataFrame:
     return Tables(spark, directory).records().select("suite_id", "question_id", "no_answer_correct", "grounded", "passed", joined("failures").alias("failures"))
 
 
-def question_records(spark: SparkSession, directory: str) -> DataFrame:
-    rows = Tables(spark, directory).records()
+def question_records(spark: SparkSession, directory: str, own: bool = False) -> DataFrame:
+    rows = Tables(spark, directory).records(own=own)
     measures = ("recall_at_k", "precision_at_k", "reciprocal_rank", "ndcg_at_k", "citation_precision", "citation_recall")
     return rows.select("suite_id", "question_id", "adversarial", joined("sources").alias("sources"), *(r6(m) for m in measures), "citations_valid", "no_answer_correct", "grounded", "passed", joined("failures").alias("failures"))
 
 
-def suite_metrics(spark: SparkSession, directory: str) -> DataFrame:
+def suite_metrics(spark: SparkSession, directory: str, own: bool = False) -> DataFrame:
     t = Tables(spark, directory)
-    rows = metrics.suite_metrics(t.records(), corpus.inventory(t.validated))
+    rows = metrics.suite_metrics(t.records(own=own), corpus.inventory(t.validated))
     return rows.select("suite_id", *(r6(c) for c in rows.columns if c != "suite_id"))
 
 
 def pass_rate_ci(spark: SparkSession, directory: str) -> DataFrame:
-    return metrics.pass_rate_ci(Tables(spark, directory).records())
+    return metrics.pass_rate_ci(Tables(spark, directory).records(own=True))
 
 
 def compare_strategies(spark: SparkSession, directory: str) -> DataFrame:
@@ -237,5 +245,6 @@ def queries() -> dict[str, Query]:
         {f.__name__: f for f in plain}
         | {f"topk_{s}": _top(s) for s in scoring.SCORERS}
         | {m: _record(m) for m in ("recall_at_k", "precision_at_k", "reciprocal_rank", "ndcg_at_k")}
+        | {f"own_{f.__name__}": partial(f, own=True) for f in (question_records, suite_metrics, citation_errors)}
         | {"citation_scores": _record("citation_precision", "citation_recall")}
     )

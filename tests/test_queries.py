@@ -32,6 +32,12 @@ def test_pass_rate_ci(spark):
     assert got and all(r.lower <= r.mean <= r.upper for r in got)
 
 
+def test_suites_are_judged_by_their_own_strategy(spark):
+    own = {r.suite_id: r.mean for r in queries()["pass_rate_ci"](spark, DATA).collect()}
+    rates = {r.suite_id: r.pass_rate for r in queries()["own_suite_metrics"](spark, DATA).collect()}
+    assert own.keys() == rates.keys() and all(abs(own[s] - rates[s]) < 2e-6 for s in own)
+
+
 def test_streams_and_tables(spark, tmp_path):
     from evalloom.operators import corpus
     from evalloom.runtime import read_table
