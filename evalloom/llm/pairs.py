@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +34,9 @@ LANGUAGE_MARGIN = 3.0
 MIN_TILE = 2
 ECHO_SHARE = 0.9
 
+#: Of the rolling hashes of stretches.
+_MODULUS, _BASE = (1 << 61) - 1, 1_000_003_579
+
 _WORD = re.compile(r"[^\W_]+")
 
 # Replies that say nothing, in lower case and without brackets, quotation marks and outer spaces.
@@ -146,40 +149,59 @@ def open_structures(text: str) -> list[str]:
     return stack
 
 
+def _grams(rolled: list[int], power: int, free: list[bool], length: int) -> Iterator[tuple[int, int]]:
+    """Where a stretch of `length` free words begins, and its hash."""
+    run = 0
+    for end, ok in enumerate(free, 1):
+        run = run + 1 if ok else 0
+        if run >= length:
+            yield end - length, (rolled[end] - rolled[end - length] * power) % _MODULUS
+
+
 def tiles(a: list[str], b: list[str], shortest: int = MIN_TILE) -> int:
-    """Greedy string tiling: how many words of `a` can be covered by stretches shared with `b`, longest first, each word used once."""
-    used_a, used_b, covered = [False] * len(a), [False] * len(b), 0
-    where: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        where.setdefault(w, []).append(j)
-    while True:
-        best, found = shortest - 1, None
-        for i in range(len(a) - best):
-            if used_a[i]:
+    """Greedy string tiling: how many words of `a` can be covered by stretches shared with `b`, longest first, each word used once.
+
+    Stretches are found by rolling hashes (Karp-Rabin). The greatest length that free words still share is found by
+    bisection, and all tiles of it are laid at once: a pass is linear, and n words have at most sqrt(2n) lengths of tiles.
+    """
+    codes: dict[str, int] = {}
+    rolled = []
+    for words in (a, b):
+        sums = [0]
+        for w in words:
+            sums.append((sums[-1] * _BASE + codes.setdefault(w, len(codes) + 1)) % _MODULUS)
+        rolled.append(sums)
+    free_a, free_b, covered, longest = [True] * len(a), [True] * len(b), 0, min(len(a), len(b))
+
+    def shared(length: int) -> bool:
+        power = pow(_BASE, length, _MODULUS)
+        theirs = {h for _, h in _grams(rolled[1], power, free_b, length)}
+        return any(h in theirs for _, h in _grams(rolled[0], power, free_a, length))
+
+    while longest >= shortest:
+        low = shortest - 1
+        while low < longest:
+            middle = (low + longest + 1) // 2
+            low, longest = (middle, longest) if shared(middle) else (low, middle - 1)
+        if longest < shortest:
+            break
+        power = pow(_BASE, longest, _MODULUS)
+        where: dict[int, deque[int]] = {}
+        for j, h in _grams(rolled[1], power, free_b, longest):
+            where.setdefault(h, deque()).append(j)
+        for i, h in list(_grams(rolled[0], power, free_a, longest)):
+            places = where.get(h)
+            # No later tile of this length is within another, so that a used one has a used end.
+            if not places or not (free_a[i] and free_a[i + longest - 1]):
                 continue
-            for j in where.get(a[i], ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
-                    k += 1
-                if k > best:
-                    best, found = k, (i, j)
-        if not found:
-            return covered
-        i, j = found
-        used_a[i : i + best] = [True] * best
-        used_b[j : j + best] = [True] * best
-        covered += best
-
-
-def covered_words(a: list[str], b: list[str]) -> int:
-    """How many words of `a` tiles cover; long texts are tiled by stretches of five words, in linear time."""
-    if len(a) * len(b) <= 250_000:
-        return tiles(a, b)
-    theirs, out = {tuple(b[i : i + 5]) for i in range(len(b) - 4)}, [False] * len(a)
-    for i in range(len(a) - 4):
-        if tuple(a[i : i + 5]) in theirs:
-            out[i : i + 5] = [True] * 5
-    return sum(out)
+            while places:
+                j = places.popleft()
+                if free_b[j] and free_b[j + longest - 1]:
+                    free_a[i : i + longest] = free_b[j : j + longest] = [False] * longest
+                    covered += longest
+                    break
+        longest -= 1
+    return covered
 
 
 def is_echo(question: list[str], reply: list[str]) -> bool:
@@ -193,7 +215,7 @@ def is_echo(question: list[str], reply: list[str]) -> bool:
         return False
     if reply == question * times:
         return True
-    return covered_words(reply, question * times) >= ECHO_SHARE * len(reply) and covered_words(question, reply) >= ECHO_SHARE * len(question)
+    return tiles(reply, question * times) >= ECHO_SHARE * len(reply) and tiles(question, reply) >= ECHO_SHARE * len(question)
 
 
 def question_language(words: list[str]) -> str | None:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from evalloom.llm.pairs import find_defective_pairs, is_echo, is_empty, one_defect, open_structures, stops_short, tiles
@@ -75,3 +77,33 @@ def test_edge_cases(spark):
     assert run(spark, []) == {}
     long = "The market hall is open. " * 40_000
     assert run(spark, [("q", "Where is it?", False, (long, [])), ("r", "x " * 50_000, False, ("x " * 50_000, [])), (None, None, None, None)]) == {"r": "echo", None: "empty"}
+
+
+def _plain_tiles(a, b):
+    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    while True:
+        best, at = 1, None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
+                    k += 1
+                if k > best:
+                    best, at = k, (i, j)
+        if not at:
+            return covered
+        free_a[at[0] : at[0] + best] = free_b[at[1] : at[1] + best] = [False] * best
+        covered += best
+
+
+def test_one_tiling_for_all_lengths():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("uvwxyz"[: rng.randrange(1, 7)]) for _ in range(rng.randrange(25))] for _ in range(2))
+        assert tiles(a, b) == _plain_tiles(a, b)
+    for n in (480, 600, 6000):
+        words = [f"w{i}" for i in range(n)]
+        phrases = [words[i : i + 3] for i in range(0, n, 3)]
+        rng.shuffle(phrases)
+        assert is_echo(words, sum(phrases, []))
+    assert tiles(["x"] * 30_000, ["x", "x", "y"] * 10_000) == 20_000
