@@ -85,8 +85,11 @@ REFUSALS = [
     r"\b(?:me impiden|me prohíben|me lo impiden|me lo prohíben)\b",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS))
-_QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”]{0,400}”|„[^“”]{0,400}[“”]|«[^»]{0,400}»")
-_TAG = re.compile(r"<[^<>]{0,40}>|&\w{1,8};")
+_QUOTES = {'"': re.compile('["\n]'), "“": re.compile("”"), "„": re.compile("[“”]"), "«": re.compile("»")}
+_QUOTE = re.compile("[\"“„«]")
+# What is long counts as a tag only if it has an attribute with a value.
+_TAG = re.compile(r"<[^<>]{0,40}>|<[a-zA-Z][a-zA-Z0-9]{0,15}(?=\s[^<>]*=)(?:\s+[^\s<>=\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>|&\w{1,8};")
+_MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,15})([^<>]*)(>?)")
 _OPEN, _CLOSE = "([{«„“", ")]}»””"
 
 
@@ -100,6 +103,22 @@ def is_empty(text: str | None) -> bool:
     return len(bare) < 64 and bare.lower().strip(" \t\r\n\xa0​[](){}<>\"'*_.:-“”«»") in PLACEHOLDERS
 
 
+def unquoted(text: str) -> str:
+    """The text with a space for each quotation, however long; plain quotation marks don't reach beyond a line."""
+    out, k, unpaired = [], 0, set()
+    while m := _QUOTE.search(text, k):
+        end = None if m[0] in unpaired else _QUOTES[m[0]].search(text, m.end())
+        if end and end[0] != "\n":
+            out += text[k : m.start()], " "
+            k = end.end()
+        else:
+            if not end:
+                unpaired.add(m[0])
+            out.append(text[k : m.end()])
+            k = m.end()
+    return "".join(out) + text[k:]
+
+
 def open_structures(text: str) -> list[str]:
     """Parses fences, brackets, quotation marks and markup with a stack; what is on it at the end was never closed.
 
@@ -134,7 +153,7 @@ def open_structures(text: str) -> list[str]:
             del stack[stack.index("„") :]
         elif c in _OPEN:
             stack.append(c)
-        elif c == "<" and (m := re.match(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,15})([^<>]*)(>?)", text[k : k + 300])):
+        elif c == "<" and (m := _MARKUP.match(text, k)):
             closing, name, attributes, end = m.groups()
             if not end:
                 stack.append("<")
@@ -143,7 +162,7 @@ def open_structures(text: str) -> list[str]:
                     del stack[stack.index(name) :]
             elif not attributes.endswith("/") and name.lower() not in ("br", "hr", "img", "p", "li", "input", "meta"):
                 stack.append(name)
-            k += m.end()
+            k = m.end()
             continue
         k += 1
     return stack
@@ -230,7 +249,7 @@ LANGUAGES = tuple(FUNCTION_WORDS)
 
 def _reply_words(text: str) -> list[str]:
     """Words that tell a language: without quotations and numbers, capitalised ones marked, as they may be names."""
-    words = [w for w in _WORD.findall(_QUOTED.sub(" ", text)) if not any(c.isdigit() for c in w)]
+    words = [w for w in _WORD.findall(unquoted(text)) if not any(c.isdigit() for c in w)]
     return [f"^{w.lower()}" if w[0].isupper() else w for w in words]
 
 
@@ -321,7 +340,7 @@ def _judge(model: LanguageModel):
                 if is_empty(text):
                     out.append((pid, "empty"))
                     continue
-                plain = _QUOTED.sub(" ", text).replace("’", "'").lower()
+                plain = unquoted(text).replace("’", "'").lower()
                 if _REFUSAL.search(plain):
                     out.append((pid, "refusal"))
                     continue

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from evalloom.llm.pairs import find_defective_pairs, is_echo, is_empty, one_defect, open_structures, stops_short, tiles
+from evalloom.llm.pairs import find_defective_pairs, is_echo, is_empty, one_defect, open_structures, stops_short, tiles, unquoted
 
 SCHEMA = "question_id string, text string, no_answer boolean, response struct<answer: string, claims: array<struct<text: string, citations: array<string>>>>, pid string, question string"
 TOWNS = [f"Town{chr(97 + i)}{chr(97 + j)}ia" for i in range(12) for j in range(5)]
@@ -107,3 +107,12 @@ def test_one_tiling_for_all_lengths():
         rng.shuffle(phrases)
         assert is_echo(words, sum(phrases, []))
     assert tiles(["x"] * 30_000, ["x", "x", "y"] * 10_000) == 20_000
+
+
+def test_long_tags_and_quotations():
+    link = f'<a href="https://a.invalid/{"x" * 400}" title="x > y">the hall</a>'
+    assert open_structures(f"See {link.replace(' > ', ' ')}.") == [] and stops_short(f"See {link}.", []) is False and not stops_short(f"See {link}!", [])
+    assert not is_empty("<No answer is given in any of the documents listed>") and is_empty(f'<img src="{"x" * 400}"/>')
+    for a, b in ('""', "“”", "„“", "«»"):
+        assert unquoted(f"He said {a}{'I cannot say. ' * 40}{b} once") == "He said   once"
+    assert unquoted('5" disk\n6" disk “') == '5" disk\n6" disk “' and len(unquoted("“" * 300_000)) == 300_000
