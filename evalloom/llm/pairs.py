@@ -256,10 +256,10 @@ def _reply_words(text: str) -> list[str]:
 def script(text: str) -> str | None:
     """The script of most letters: latin, cyrillic, greek, arabic, hebrew, han or kana, hangul, or None without letters."""
     counts: Counter[str] = Counter()
-    for c in text[:20_000]:
+    for c, n in Counter(text).items():
         if c.isalpha():
             o = ord(c)
-            counts["latin" if o < 0x250 else "greek" if o < 0x400 else "cyrillic" if o < 0x530 else "hebrew" if 0x590 <= o < 0x600 else "arabic" if 0x600 <= o < 0x780 else "hangul" if 0xAC00 <= o < 0xD7B0 else "cjk" if 0x2E80 <= o < 0xAC00 else "other"] += 1
+            counts["latin" if o < 0x250 else "greek" if o < 0x400 else "cyrillic" if o < 0x530 else "hebrew" if 0x590 <= o < 0x600 else "arabic" if 0x600 <= o < 0x780 else "hangul" if 0xAC00 <= o < 0xD7B0 else "cjk" if 0x2E80 <= o < 0xAC00 else "other"] += n
     return counts.most_common(1)[0][0] if counts else None
 
 

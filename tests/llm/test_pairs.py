@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from evalloom.llm.pairs import find_defective_pairs, is_echo, is_empty, one_defect, open_structures, stops_short, tiles, unquoted
+from evalloom.llm.pairs import find_defective_pairs, is_echo, is_empty, one_defect, open_structures, script, stops_short, tiles, unquoted
 
 SCHEMA = "question_id string, text string, no_answer boolean, response struct<answer: string, claims: array<struct<text: string, citations: array<string>>>>, pid string, question string"
 TOWNS = [f"Town{chr(97 + i)}{chr(97 + j)}ia" for i in range(12) for j in range(5)]
@@ -116,3 +116,7 @@ def test_long_tags_and_quotations():
     for a, b in ('""', "“”", "„“", "«»"):
         assert unquoted(f"He said {a}{'I cannot say. ' * 40}{b} once") == "He said   once"
     assert unquoted('5" disk\n6" disk “') == '5" disk\n6" disk “' and len(unquoted("“" * 300_000)) == 300_000
+
+
+def test_script_of_the_whole_text():
+    assert script("code " * 6_000 + "它在市场举行" * 10_000) == "cjk" and script("它 a") == "cjk" and script("1 2") is None
