@@ -90,6 +90,7 @@ _QUOTE = re.compile("[\"“„«]")
 # What is long counts as a tag only if it has an attribute with a value.
 _TAG = re.compile(r"<[^<>]{0,40}>|<[a-zA-Z][a-zA-Z0-9]{0,15}(?=\s[^<>]*=)(?:\s+[^\s<>=\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>|&\w{1,8};")
 _MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,15})([^<>]*)(>?)")
+_ITEM = re.compile(r"([^\S\n]*)(?:[-*•–]|\d+[.)])(?:[^\S\n]+\[[ xX]\])?(?=\s|$)")
 _OPEN, _CLOSE = "([{«„“", ")]}»””"
 
 
@@ -120,15 +121,27 @@ def unquoted(text: str) -> str:
 
 
 def open_structures(text: str) -> list[str]:
-    """Parses fences, brackets, quotation marks and markup with a stack; what is on it at the end was never closed.
+    """Parses fences, brackets, quotation marks, lists and markup with a stack; what is on it at the end was never closed.
 
+    A list has a level for each indent, and its item is open until something stands in it; the next item of its level or
+    of one further out ends it.
     A closing mark without its partner is passed over, as in numbered lists or smileys. A plain quotation mark opens after white
     space or an opening bracket and closes otherwise, so that inch marks don't count.
     """
     stack: list[str] = []
+    items: list[list] = []
     k, n = 0, len(text)
     while k < n:
+        if (k == 0 or text[k - 1] == "\n") and "```" not in stack and (m := _ITEM.match(text, k)):
+            while items and items[-1][0] >= len(m[1]):
+                items.pop()
+            items.append([len(m[1]), True])
+            k = m.end()
+            continue
         c = text[k]
+        if items and items[-1][1] and not c.isspace():
+            for item in items:
+                item[1] = False
         if text.startswith("```", k):
             if "```" in stack:
                 del stack[stack.index("```") :]
@@ -165,7 +178,7 @@ def open_structures(text: str) -> list[str]:
             k = m.end()
             continue
         k += 1
-    return stack
+    return stack + ["-"] if items and items[-1][1] else stack
 
 
 def _grams(rolled: list[int], power: int, free: list[bool], length: int) -> Iterator[tuple[int, int]]:
@@ -303,7 +316,6 @@ def _language_differs(model: LanguageModel, question: str, text: str) -> bool:
 
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\s\")\]”»]*$")
 _STOP = re.compile(r"[.!?][\"'”’»)\]*_]*$")
-_BARE_MARKER = re.compile(r"(?:^|\n)\s*(?:[-*•–]|\d+[.)])\s*$")
 
 
 def stops_short(text: str, siblings: list[str]) -> bool | None:
@@ -313,7 +325,7 @@ def stops_short(text: str, siblings: list[str]) -> bool | None:
     was cut.
     """
     text = _TAG.sub(" ", text).rstrip("​ \t\r\n\xa0")
-    if _ELLIPSIS.search(text[-16:]) or "�" in text[-2:] or _BARE_MARKER.search(text[-200:]):
+    if _ELLIPSIS.search(text[-16:]) or "�" in text[-2:]:
         return True
     if open_structures(text):
         return True

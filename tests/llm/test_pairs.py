@@ -120,3 +120,10 @@ def test_long_tags_and_quotations():
 
 def test_script_of_the_whole_text():
     assert script("code " * 6_000 + "它在市场举行" * 10_000) == "cjk" and script("它 a") == "cjk" and script("1 2") is None
+
+
+def test_lists_are_parsed():
+    for cut in ("Steps:\n- one\n-", "Steps:\n1. one\n  -", "Steps:\n- [x] one\n- [ ]", "-\n  -", "1)"):
+        assert open_structures(cut) == ["-"] and stops_short(cut, [])
+    for fine in ("- one\n- two", "-\n- two", "1.\n   text", "a -", "```\n-\n```", "- one\n\nAll of it", "It is - well\n2.5"):
+        assert open_structures(fine) == []
