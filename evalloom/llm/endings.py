@@ -182,7 +182,11 @@ def ending_evidence(corpus: DataFrame, asked: DataFrame, copies_count: bool = Fa
     partial = corpus.mapInPandas(_count, "context string, n_end long, n_mid long")
     counts = cut_lineage(partial.groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_mid").alias("n_mid")).where(f"n_end + n_mid >= {MIN_SUPPORT} or context like 'w%'"))
     words = counts.where("context like 'w%'").select(F.expr("substring(context, 2)").alias("word"), "n_end", "n_mid")
-    suspicious = words.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word").mapInPandas(_walk_trie, "word string, longer long")
+    # A word of one letter is a prefix of words in many partitions: those are counted for each first letter.
+    spelled = words.where("length(word) > 1")
+    begun = spelled.groupBy(F.substring("word", 1, 1).alias("word")).agg(F.sum(F.col("n_end") + F.col("n_mid")).alias("longer"))
+    letters = words.where("length(word) = 1 and n_mid = 0").join(begun, "word").where("n_end = 1 or longer >= 20 * n_end").select("word", "longer")
+    suspicious = spelled.repartition(F.substring("word", 1, 2)).sortWithinPartitions("word").mapInPandas(_walk_trie, "word string, longer long").unionByName(letters)
     last = asked.mapInPandas(_last_words, f"id {kind}, level int, context string")
     stats = cut_lineage(counts.where("context not like 'w%'").select("context", F.col("n_end").alias("x"), (F.col("n_end") + F.col("n_mid")).alias("n")).unionByName(suspicious.select(F.concat(F.lit("w"), "word").alias("context"), F.col("longer").alias("x"), F.lit(1).cast("long").alias("n"))))
     # Every level counts the same places again.

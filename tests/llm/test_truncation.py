@@ -1,5 +1,6 @@
 import pytest
 
+from evalloom.llm.endings import ending_evidence
 from evalloom.llm.truncation import closing, find_truncated, truncation_by_source
 
 SCHEMA = "doc_id long, text string, source string, closing string, chars int, id string"
@@ -49,3 +50,17 @@ def test_prose_is_held_against_trie_and_corpus(spark):
     got = run(spark, rows + [(e, "b") for e in ends] + [("A longer text of the same source, which ends where it should.", "b")])
     assert [got[14 + i].cut for i in range(4)] == [False, True, True, True] and not any(got[i].cut for i in range(14))
     assert got[15].longer and got[16].end_rate < 0.1 and got[14].end_rate > 0.95
+
+
+def test_a_last_word_of_one_letter_is_a_prefix_in_every_partition(spark):
+    texts = [f"The {w} of hall {n} stands here." for w in ("stone", "sail", "ship", "sky", "stair", "slate") for n in range(8)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "Desk: s"])], "id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        got = {r.id: r.longer for r in ending_evidence(df, df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[48] == 96 and not any(got[i] for i in range(48))
