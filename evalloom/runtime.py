@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,26 +27,46 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the session names in `spark.checkpoint.dir`, which all executors share."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    # Only a session that names no shared folder (tests, a laptop) gets one of its own.
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evalloom-checkpoint-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    # Only a session on one machine that names no folder (tests, a laptop) gets one of its own.
+    global _own_folder
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="evalloom-")
+    return f"file://{_own_folder}"
+
+
+_own_folder: str | None = None
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and reads it from there, so that a lost executor costs no recomputation of what came before."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes `df` as a table in the shared folder and reads it from there, so that a lost executor costs no recomputation of what came before.
+
+    The table is columnar: a later step reads only the columns it uses. All tables of an application lie in one folder,
+    which goes when the application ends.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/evalloom-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    table = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return spark.read.schema(df.schema).parquet(table)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """`df` with a broadcast hint when a count stopped at `max_rows` proves it small; otherwise `df`, to be joined by shuffle. The outcome is remembered."""
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """`df` with a broadcast hint when its rows, counted up to a bound, prove few and short; otherwise `df`, to be joined by shuffle. The outcome is remembered."""
     known = df.__dict__.setdefault("_evalloom_small", {})
     if max_rows not in known:
-        known[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+        size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))), F.lit(0))
+        rows, written = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+        known[max_rows] = rows <= max_rows and written <= max_bytes
     return F.broadcast(df) if known[max_rows] else df
 
 
