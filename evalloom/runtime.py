@@ -24,7 +24,16 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spread(spark.read.parquet(f"{directory}/{name}.parquet"))
+
+
+def spread(scan: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """`scan`, over as many partitions as there are cores if its files give fewer: what is done to its rows would else keep the other cores waiting."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    plan = scan._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < min_bytes or plan.toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
