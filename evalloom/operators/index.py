@@ -50,10 +50,15 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("suite_id", "token").agg(F.count("*").alias("df"))
 
 
-def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequency_of(token_lists: DataFrame) -> DataFrame:
+    """The same from token lists: a chunk's repeated tokens are dropped within the row."""
+    return token_lists.select("suite_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("suite_id", "token").agg(F.count("*").alias("df"))
+
+
+def term_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """df and both inverse document frequencies of each token of a suite."""
     n, df = F.col("n_chunks"), F.col("df")
-    rows = document_frequency(posted).join(broadcast_if_small(stats).select("suite_id", "n_chunks"), "suite_id")
+    rows = frequencies.join(broadcast_if_small(stats).select("suite_id", "n_chunks"), "suite_id")
     return rows.select("suite_id", "token", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("bm25_idf"), (F.log((n + 1) / (df + 1)) + 1).alias("tfidf_idf"))
 
 

@@ -47,14 +47,14 @@ class Tables:
         return scoring.Index(self.chunks, self.asked)
 
     def retrieved(self, strategy: str) -> DataFrame:
-        return with_source(scoring.top_k(scoring.score(strategy, self.index(), self.suites), self.suites))
+        return with_source(scoring.retrieve(strategy, self.index(), self.suites))
 
     def retrieved_by_own(self) -> DataFrame:
         """What each suite's own strategy finds; a suite that names none is ranked by overlap."""
         built, own, parts = self.index(), F.coalesce("retrieval_strategy", F.lit("overlap")), []
         for strategy in sorted(r[0] for r in self.suites.select(own).distinct().collect()) or ["overlap"]:
             suites = self.suites.where(own == strategy)
-            parts.append(scoring.top_k(scoring.score(strategy, built.of(suites), suites), suites))
+            parts.append(scoring.retrieve(strategy, built, suites))
         return with_source(reduce(DataFrame.unionByName, parts))
 
     def records(self, strategy: str = "bm25", own: bool = False) -> DataFrame:
@@ -217,7 +217,7 @@ def compare_strategies(spark: SparkSession, directory: str) -> DataFrame:
     built, sides = t.index(), []
     support = judging.claim_support(t.asked, t.valid)
     for strategy in ("overlap", "bm25"):
-        hits = with_source(scoring.top_k(scoring.score(strategy, built, t.suites), t.suites))
+        hits = with_source(scoring.retrieve(strategy, built, t.suites))
         listed = hits.groupBy("suite_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.bround("score", 6).alias("score")))).alias("retrieved"))
         verdicts = judging.judge(t.questions, hits, t.valid, t.suites, support).select("suite_id", "question_id", "passed")
         sides.append(verdicts.join(listed, ["suite_id", "question_id"], "left"))
@@ -243,7 +243,7 @@ def queries() -> dict[str, Query]:
     )
     return (
         {f.__name__: f for f in plain}
-        | {f"topk_{s}": _top(s) for s in scoring.SCORERS}
+        | {f"topk_{s}": _top(s) for s in scoring.STRATEGIES}
         | {m: _record(m) for m in ("recall_at_k", "precision_at_k", "reciprocal_rank", "ndcg_at_k")}
         | {f"own_{f.__name__}": partial(f, own=True) for f in (question_records, suite_metrics, citation_errors)}
         | {"citation_scores": _record("citation_precision", "citation_recall")}

@@ -59,7 +59,7 @@ def run(documents: DataFrame, questions: DataFrame, suites: DataFrame, configs:
 
     parts = []
     for strategy in [r.strategy for r in configs.select("strategy").distinct().collect()]:
-        hits = scoring.top_k(scoring.score(strategy, index, runs), runs).withColumn("source_id", F.regexp_extract("chunk_id", "^(.*):\\d+:\\d+-\\d+$", 1))
+        hits = scoring.retrieve(strategy, index, runs).withColumn("source_id", F.regexp_extract("chunk_id", "^(.*):\\d+:\\d+-\\d+$", 1))
         records = judging.judge(as_run(questions).drop("chunk_size", "chunk_overlap"), hits, sources, runs, support)
         parts.append(records.withColumn("strategy", F.lit(strategy)))
     records = reduce(DataFrame.unionByName, parts)
