@@ -53,11 +53,12 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folder: str | None = None
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it from there, so that a lost executor costs no recomputation of what came before.
 
     The table is columnar: a later step reads only the columns it uses. All tables of an application lie in one folder,
-    which goes when the application ends.
+    which goes when the application ends. With `by`, rows are filed by these columns, so that a step that asks for one of
+    their values reads no other rows.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -65,7 +66,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     table = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(table)
+    (df.write.partitionBy(*by) if by else df.write).parquet(table)
     return spark.read.schema(df.schema).parquet(table)
 
 
