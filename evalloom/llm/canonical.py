@@ -7,13 +7,15 @@ Method: every record is reduced to 128-bit canonical hashes. Each partition buil
 the hashes it has seen and one of those it has seen again; the filters are merged segment by segment (what is in both
 of two partitions' first filters goes to the second). Records whose hashes are not in the merged second filter are
 singletons and are never shuffled; the others, the possible repeats, are grouped exactly. A Bloom filter has no false
-negatives, so nothing is lost; a false positive only sends a singleton through the exact grouping.
+negatives, so nothing is lost; a false positive only sends a singleton through the exact grouping. A filter keeps 16 bits
+a hash: what is too many for one is cut into bands of contents with the same counts of letters, filtered in turn.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,8 @@ from evalloom.runtime import cut_lineage, join_weighted
 
 #: Words of 64 bits in a segment of a filter; a segment is what the merging step holds at once.
 SEGMENT_WORDS = 8192
-#: Upper bound of the merged filter, which is sent to the executors. A fuller filter only lets more singletons pass.
-MAX_FILTER_BYTES = 32 << 20
+#: Upper bound of one merged filter, which is sent to the executors. More hashes are filtered band by band.
+MAX_FILTER_BYTES = 64 << 20
 BITS_PER_HASH = 16
 # What may stand between the fields of a content.
 SEPARATORS = "\\r\\n\\x{85}\\x{2028}\\x{2029}\\x{B}\\x{C};|"
@@ -99,13 +101,11 @@ def _merge_filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
-def repeated_hash_filter(hashes: DataFrame, n_rows: int) -> np.ndarray:
-    """The merged Bloom filter of the hashes (column `h`) that occur more than once, as 64-bit words."""
-    wanted = max(SEGMENT_WORDS, n_rows * BITS_PER_HASH // 64)
-    n_words = min(1 << (wanted - 1).bit_length(), MAX_FILTER_BYTES // 8)
+def repeated_hash_filter(hashes: DataFrame, n_words: int) -> np.ndarray:
+    """The merged Bloom filter of the hashes (column `h`) that occur more than once, as `n_words` 64-bit words."""
     spark = hashes.sparkSession
     partial = hashes.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(_build_filters(n_words), "segment int, once binary, again binary")
-    n_segments = n_words // SEGMENT_WORDS
+    n_segments = max(1, n_words // SEGMENT_WORDS)
     merged = partial.repartition(min(n_segments, 64), "segment").sortWithinPartitions("segment").mapInPandas(_merge_filters, "segment int, again binary")
     out = np.zeros(n_words, np.uint64)
     for row in merged.toLocalIterator():  # MAX_FILTER_BYTES at most
@@ -113,6 +113,50 @@ def repeated_hash_filter(hashes: DataFrame, n_rows: int) -> np.ndarray:
     return out
 
 
+def n_bands(n_rows: int, max_bytes: int = MAX_FILTER_BYTES) -> int:
+    """How many filters of `max_bytes` give the hashes of so many rows their bits."""
+    return max(1, -(-n_rows * BITS_PER_HASH // (8 * max_bytes)))
+
+
+def mark_repeats(rows: DataFrame, probes: list[Column], band: Column, n_rows: int, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """Adds `__may`: whether one of a row's hashes (`probes`, null ones left out) may occur in another row too.
+
+    Every hash gets BITS_PER_HASH bits. Where one filter of `max_bytes` can't give them, rows are written in bands,
+    without a shuffle, and each band has a filter of its own, one after the other; `band` is an integer that rows
+    sharing a probe have in common.
+    """
+    most, bands = max_bytes // 8, n_bands(n_rows, max_bytes)
+    n_words = min(1 << (max(SEGMENT_WORDS, n_rows * BITS_PER_HASH // (64 * bands)) - 1).bit_length(), most)
+
+    def marked(part: DataFrame) -> DataFrame:
+        found = repeated_hash_filter(part.select(F.explode(F.array_compact(F.array(*probes))).alias("h")), n_words)
+        words = part.sparkSession.sparkContext.broadcast(found)
+
+        @F.pandas_udf(T.BooleanType())
+        def may_repeat(*hashes: pd.Series) -> pd.Series:
+            hit = np.zeros(len(hashes[0]), bool)
+            for column in hashes:
+                at, mask = _positions(column.to_numpy(np.int64), n_words)
+                hit |= (words.value[at] & mask) == mask
+            return pd.Series(hit)
+
+        # A missing hash counts as the first, which is never null.
+        return part.withColumn("__may", may_repeat(*(F.coalesce(p, probes[0]) for p in probes)))
+
+    if bands == 1:
+        return marked(rows)
+    banded = cut_lineage(rows.withColumn("__band", F.pmod(band, F.lit(bands)).cast("int")), "__band")
+    return reduce(DataFrame.unionByName, [cut_lineage(marked(banded.where(F.col("__band") == b).drop("__band"))) for b in range(bands)])
+
+
+def distinct_texts(df: DataFrame) -> DataFrame:
+    """`text`, each once: only texts whose hash may occur twice are shuffled."""
+    rows = df.select("text").where("text is not null")
+    own = F.xxhash64("text")
+    marked = mark_repeats(rows, [own], own, rows.count())
+    return marked.where("not __may").select("text").unionByName(marked.where("__may").select("text").distinct())
+
+
 class CanonicalGroups:
     """The outcome of grouping records by canonical content.
 
@@ -129,28 +173,23 @@ class CanonicalGroups:
         return groups.unionByName(self.singles.select(F.col(self.id_col).alias("first_id"), F.lit(1).cast("long").alias("copies")))
 
 
-def group_by_canonical_content(df: DataFrame, id_col: str, content: str, keep: tuple[str, ...] = ()) -> CanonicalGroups:
+def group_by_canonical_content(df: DataFrame, id_col: str, content: str, keep: tuple[str, ...] = (), max_filter_bytes: int = MAX_FILTER_BYTES) -> CanonicalGroups:
     """Groups the rows of `df` whose contents are the same but for formatting.
 
     Rows with a null or blank content, or one without letters and digits, form one group. `id_col` must be unique;
     a row without an id belongs to no group and is left out. An empty table gives empty groups. Columns other than
     `id_col`, `content` and `keep` are ignored, whatever their names.
     """
-    rows = with_canonical_keys(df.select(F.col(id_col).alias("__id"), F.col(content).alias("__content"), *(F.col(c).alias(f"__k_{c}") for c in keep)).where("__id is not null"), "__content").drop("__content")
+    # The order of fields changes no count of letters, so that contents which are the same are in one band.
+    letters = letters_only(F.col("__content"))
+    counts = (F.length(letters), *(F.length(F.translate(letters, x, "")) for x in ("e", "n", "0123456789")))
+    own = df.where(F.col(id_col).isNotNull())
+    total = own.count()
+    band = F.xxhash64(*counts) if n_bands(total, max_filter_bytes) > 1 else F.lit(0)
+    rows = with_canonical_keys(own.select(F.col(id_col).alias("__id"), F.col(content).alias("__content"), *(F.col(c).alias(f"__k_{c}") for c in keep)), "__content").withColumn("__band", band).drop("__content")
     rows = cut_lineage(rows)
-    total = rows.count()
-    probes = F.array_compact(F.array(F.xxhash64("letters_key"), F.when(F.col("fields_key").isNotNull(), F.xxhash64("fields_key"))))
-    words = rows.sparkSession.sparkContext.broadcast(repeated_hash_filter(rows.select(F.explode(probes).alias("h")), total))
-
-    @F.pandas_udf(T.BooleanType())
-    def may_repeat(letters: pd.Series, fields: pd.Series) -> pd.Series:
-        hit = np.zeros(len(letters), bool)
-        for hashes in (letters, fields):
-            at, mask = _positions(hashes.to_numpy(np.int64), len(words.value))
-            hit |= (words.value[at] & mask) == mask
-        return pd.Series(hit)
-
-    marked = rows.withColumn("__may", may_repeat(F.xxhash64("letters_key"), F.xxhash64(F.coalesce("fields_key", "letters_key"))))
+    probes = [F.xxhash64("letters_key"), F.when(F.col("fields_key").isNotNull(), F.xxhash64("fields_key"))]
+    marked = mark_repeats(rows, probes, F.col("__band"), total, max_filter_bytes).drop("__band")
     marked = marked.withColumn("__key", F.concat("letters_key", F.coalesce("fields_key", F.unhex(F.lit("")))))
     possible = cut_lineage(marked.where("__may"))
     # Exact grouping of the possible repeats; copies are counted before the shuffle, so that a hot group is a few rows.

@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from evalloom.llm.canonical import _build_filters, _merge_filters, _positions, group_by_canonical_content
+from evalloom.llm.canonical import _build_filters, _merge_filters, _positions, distinct_texts, group_by_canonical_content
 
 
 def groups(spark, contents, extra=""):
@@ -68,3 +69,19 @@ def test_filter_has_no_false_negatives(parts):
     at, mask = _positions(np.array(hashes, np.int64), 8192)
     hit = (words[at] & mask) == mask
     assert hit[:500].all() and hit[500:].mean() < 0.05
+
+
+def test_bands_of_a_filter_lose_nothing(spark):
+    rng = random.Random(5)
+    texts = [f"Text number {rng.randrange(260)} of the {rng.choice(['old', 'new'])} hall" for _ in range(300)]
+    texts += [sep.join(rng.sample([f"Name: {n}", f"Fee: {n} marks", "Hall: old"], 3)) for n in range(40) for sep in ("\n", "; ")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    whole, banded = (Counter((r.id, r.first_id, r.copies) for r in group_by_canonical_content(df, "id", "text", max_filter_bytes=n).members.collect()) for n in (1 << 20, 128))
+    assert whole == banded and len(whole) > 200
+    assert Counter(r.text for r in distinct_texts(df).collect()) == Counter(set(texts))
+
+
+def test_every_member_of_many_small_groups_is_kept(spark):
+    cards = [(2 * n + k, f"Name: N{n}; Fee: {n}; Hall: old" if k else f"Fee: {n}\nHall: old\nName: N{n}") for n in range(1020) for k in (0, 1)]
+    groups = group_by_canonical_content(spark.createDataFrame(cards, "id long, text string"), "id", "text")
+    assert groups.members.count() == 2040 and groups.collapsed().count() == 1020
