@@ -6,8 +6,10 @@ Method: multi-index Hamming join. A text's signature has 32 symbols of 16 bits,
 hash function, so that two texts of similarity J differ in about (1 - J) * 32 symbols. Signatures are split into 8 chunks
 of 4 symbols. By the pigeonhole principle two signatures at a distance of 15 or less have a chunk with at most one
 wrong symbol; enumerating which one may be wrong gives 4 keys a chunk, and all such pairs meet in a key. Pairs further
-apart often do so too: one of similarity 0.6 meets with probability 0.994, of 0.7 with 0.9998. Candidates are then held
-against a shortened signature and, finally, against the runs themselves, so that every pair given is a true one.
+apart often do so too: one of similarity 0.6 meets with probability 0.994, of 0.7 with 0.9998. With each key go the
+number of runs and the signature with 4 bits a symbol, by which what meets is told before it is shuffled: texts whose
+numbers of runs rule the similarity out, and signatures that differ in more symbols than MAX_DISTANCE, which is beyond
+the distance guaranteed. The runs themselves decide in the end, so that every pair given is a true one.
 
 Copies are joined once: texts with the same words in the same order are one variant, and only variants are compared.
 """
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,10 @@ from evalloom.runtime import broadcast_if_small, cut_lineage
 RUN_WORDS = 3
 CHUNKS, CHUNK_SYMBOLS, CHUNK_ERRORS = 8, 4, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-#: Differing symbols beyond which a candidate can be dropped: 3.3 standard deviations above the mean of similarity 0.6.
-MAX_DISTANCE = 21
-#: The same for the half of the signature that a key isn't from: 3.1 standard deviations.
-MAX_HALF_DISTANCE = 12
+#: Two signatures that differ in so many symbols or fewer have a chunk with no more errors than are enumerated.
+GUARANTEED = CHUNKS * (CHUNK_ERRORS + 1) - 1
+#: Differing symbols of 4 bits beyond which a candidate is dropped: 4 standard deviations above the mean of similarity 0.6.
+MAX_DISTANCE = 23
 #: Members of one variant that one task expands.
 EXPANDED_TOGETHER = 20_000
 
@@ -88,7 +89,9 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k in range(SYMBOLS):
             lowest = np.minimum.reduceat(flat * _MULTIPLIERS[k] + _OFFSETS[k], starts)
             symbols[:, k] = _mixed(lowest) >> np.uint64(48)
-        yield pd.DataFrame({"kind": batch["kind"].to_numpy()[kept], "key": batch["key"].to_numpy()[kept], "variant": variants, "sig": [row.tobytes() for row in symbols]})
+        # Repeated runs count once.
+        sizes = [len(np.unique(r)) for r in runs]
+        yield pd.DataFrame({"kind": batch["kind"].to_numpy()[kept], "key": batch["key"].to_numpy()[kept], "variant": variants, "n_runs": sizes, "sig": [row.tobytes() for row in symbols]})
 
 
 def _short(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +102,13 @@ def _short(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each chunk and each choice of symbols that may be wrong in it, a hash of the others; with it goes the short signature of the half that the chunk isn't in."""
+    """For each chunk and each choice of symbols that may be wrong in it, a hash of the others; with it go the short signature and the number of runs."""
     for batch in batches:
         if not len(batch):
             continue
         symbols, halves = _short(batch)
         kind = np.array([xxhash.xxh3_64_intdigest(k) for k in batch["kind"]], np.uint64)
-        keys, others = [], []
+        keys = []
         for chunk in range(CHUNKS):
             for wrong in range(CHUNK_SYMBOLS):
                 x = kind + np.uint64(chunk * CHUNK_SYMBOLS + wrong)
@@ -113,16 +116,8 @@ def _chunk_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if k != wrong:
                         x = _mixed(x * _MIX + symbols[:, chunk * CHUNK_SYMBOLS + k] + np.uint64(1))
                 keys.append(x)
-                others.append(halves[:, 1 if chunk < CHUNKS // 2 else 0])
-        yield pd.DataFrame({"key": np.stack(keys, 1).ravel().view(np.int64), "rid": np.repeat(batch["rid"].to_numpy(), len(keys)), "half": np.stack(others, 1).ravel()})
-
-
-def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The signatures with 4 bits a symbol, as two longs."""
-    for batch in batches:
-        if len(batch):
-            _, halves = _short(batch)
-            yield pd.DataFrame({"rid": batch["rid"], "s0": halves[:, 0], "s1": halves[:, 1]})
+        again = lambda column: np.repeat(column, len(keys))
+        yield pd.DataFrame({"key": np.stack(keys, 1).ravel().view(np.int64), "rid": again(batch["rid"].to_numpy()), "s0": again(halves[:, 0]), "s1": again(halves[:, 1]), "n_runs": again(batch["n_runs"].to_numpy())})
 
 
 def _variant(words: list[str]) -> bytes:
@@ -147,6 +142,12 @@ def _differing(a: str, b: str) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def may_be_close(threshold: float) -> Column:
+    """Whether two keyed rows, `l` and `r`, can be similar: the smaller has enough runs for it, and the signatures differ in few enough symbols."""
+    sizes = F.least("l.n_runs", "r.n_runs") >= threshold * F.greatest("l.n_runs", "r.n_runs")
+    return sizes & (_differing("l.s0", "r.s0") + _differing("l.s1", "r.s1") <= MAX_DISTANCE)
+
+
 class NearDuplicates:
     """`links`: pairs of variants, `a` < `b`, with their similarity. `members`: kind, key and `rid` of the variant of every text with a run, and `n`, the members of that variant."""
 
@@ -167,12 +168,16 @@ class NearDuplicates:
         return rows.where("low_key <> high_key").distinct()
 
     def groups(self) -> DataFrame:
-        """kind, key, `group_id` (a variant's number) and `links` (how many other variants its own is linked with) of every text."""
+        """kind, key, `group_id` (the smallest key of its group) and `links` (how many other variants its own is linked with) of every text."""
         both = self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = both.groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("links"))
         labels = connected_components(self.links.select("a", "b"))
-        rows = self.members.join(labels, "rid", "left").join(degree, "rid", "left")
-        return rows.select("kind", "key", F.coalesce("label", "rid").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        # A label and a count a variant; names are found by variant first, so that a hot one is one row.
+        least = self.members.groupBy("rid").agg(F.min("key").alias("least"))
+        named = least.join(labels, "rid", "left").join(degree, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        names = named.groupBy("label").agg(F.min("least").alias("group_id"))
+        known = cut_lineage(named.join(names, "label").select("rid", "group_id", F.coalesce("links", F.lit(0)).alias("links")))
+        return self.members.join(known, "rid").select("kind", "key", "group_id", "links")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -191,7 +196,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(down.select(F.col("m").alias("x"), F.col("b").alias("y")))
         edges = cut_lineage(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == last:
             return edges.select(F.col("b").alias("rid"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("rid"), F.col("a").alias("label")).distinct())
         last = now
@@ -206,20 +211,15 @@ def find_near_duplicates(items: DataFrame, threshold: float = 0.6) -> NearDuplic
     columns are ignored.
     """
     items = items.select("kind", "key", "text", "fields").where("text is not null and key is not null")
-    signed = cut_lineage(items.mapInPandas(_sign, "kind string, key string, variant binary, sig binary"))
-    variants = signed.groupBy("kind", "variant").agg(F.min("key").alias("key"), F.first("sig").alias("sig"), F.count("*").alias("n"))
+    signed = cut_lineage(items.mapInPandas(_sign, "kind string, key string, variant binary, n_runs int, sig binary"))
+    variants = signed.groupBy("kind", "variant").agg(F.min("key").alias("key"), F.first("n_runs").alias("n_runs"), F.first("sig").alias("sig"), F.count("*").alias("n"))
     variants = cut_lineage(variants.withColumn("rid", F.monotonically_increasing_id()))
     members = signed.select("kind", "key", "variant").distinct().join(variants.select("kind", "variant", "rid", "n"), ["kind", "variant"]).drop("variant")
 
-    # What meets by chance in a key is told by the other half of the signatures, before it is shuffled.
-    keyed = variants.select("rid", "kind", "sig").mapInPandas(_chunk_keys, "key long, rid long, half long")
-    met = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") < F.col("r.rid")) & (_differing("l.half", "r.half") <= MAX_HALF_DISTANCE))
-    candidates = met.select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b")).distinct()
-    short = variants.select("rid", "sig").mapInPandas(_shortened, "rid long, s0 long, s1 long")
-    for side in ("a", "b"):
-        candidates = candidates.join(short.select(F.col("rid").alias(side), *(F.col(s).alias(f"{side}_{s}") for s in ("s0", "s1"))), side)
-    distance = reduce(lambda x, y: x + y, (_differing(f"a_{s}", f"b_{s}") for s in ("s0", "s1")))
-    close = cut_lineage(candidates.where(distance <= MAX_DISTANCE).select("a", "b"))
+    # What meets by chance in a key is told before it is shuffled. A key that many have is split by the skew handling of the join.
+    keyed = variants.select("rid", "kind", "n_runs", "sig").mapInPandas(_chunk_keys, "key long, rid long, s0 long, s1 long, n_runs int")
+    met = keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") < F.col("r.rid")) & may_be_close(threshold))
+    close = cut_lineage(met.select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b")).distinct())
 
     ends = close.select(F.col("a").alias("rid")).unionByName(close.select(F.col("b").alias("rid"))).distinct()
     wanted = cut_lineage(variants.join(ends, "rid").select("kind", "key", "rid", "variant"))

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from evalloom.llm.neardup import _WORD, connected_components, find_near_duplicates
+from evalloom.llm.neardup import _WORD, CHUNKS, GUARANTEED, MAX_DISTANCE, SYMBOLS, _chunk_keys, connected_components, find_near_duplicates, may_be_close
 
 
 def brute(texts):
@@ -62,3 +64,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 205), (205, 203)]
     got = {r.rid: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200, 203: 200, 205: 200}
+
+
+def test_every_pair_within_the_guaranteed_distance_meets(spark):
+    rng = random.Random(8)
+    splits = [s for s in ((4, 3, 3, 3, 0, 0, 0, 0), (4, 4, 3, 3, 0, 0, 0, 0), (4, 4, 4, 3, 0, 0, 0, 0), (0, 0, 0, 0, 4, 4, 4, 3), (2, 2, 2, 2, 2, 2, 2, 1), (1,) * 8)]
+    places = [[4 * c + k for c, n in enumerate(split) for k in rng.sample(range(4), n)] for split in splits] + [rng.sample(range(SYMBOLS), GUARANTEED) for _ in range(300)]
+    base = np.random.default_rng(1).integers(0, 1 << 16, (len(places), SYMBOLS)).astype(np.uint16)
+    other = base.copy()
+    for row, at in zip(other, places, strict=True):
+        row[at] ^= np.uint16(rng.randrange(1, 1 << 16))
+    frame = lambda rows: pd.DataFrame({"rid": range(len(rows)), "kind": "chunk", "n_runs": 10, "sig": [r.tobytes() for r in rows]})
+    left, right = (spark.createDataFrame(next(_chunk_keys(iter([frame(x)])))) for x in (base, other))
+    met = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.rid") == F.col("r.rid")) & may_be_close(0.6))
+    assert GUARANTEED == 2 * CHUNKS - 1 <= MAX_DISTANCE and met.select("l.rid").distinct().count() == len(places)
