@@ -31,7 +31,9 @@ def test_pieces():
 def run(spark, docs, items):
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], "doc_id long, text string, norm string, item int")
     e = spark.createDataFrame([(i, t, "y") for i, t in enumerate(items)], "item_id long, text string, doc string")
-    return {(r.doc_id, r.item_id): (r.longest_run, r.edit_distance) for r in find_leaks(d, "doc_id", "text", e, "item_id", "text").collect()}
+    found, many = ({(r.doc_id, r.item_id): (r.longest_run, r.edit_distance) for r in find_leaks(d, "doc_id", "text", e, "item_id", "text", max_chars=n).collect()} for n in (1 << 20, 0))
+    assert found == many
+    return found
 
 
 def longest(a, b):
