@@ -50,41 +50,92 @@ FUNCTION_WORDS = {
     "es": "el la los las de es en y del para qué quién cuándo dónde se por cuál cuántas cuánto desde una un su a al fue pueden".split(),
 }
 
-_EN_CANNOT = r"(?:can(?:no|')?t|can not|could(?:n't| not)|won't|will not|would(?:n't| not)|am (?:unable|not able|not allowed|not permitted|not in a position)|'m (?:unable|not able|not allowed|not permitted|not in a position)|may not|must not|(?:would|'d) (?:rather|prefer) not|prefer not)"
-_EN_TELL = r"(?:answer|reply|respond|help|assist|discuss|say|talk|speak|comment|share|provide|give|disclose|reveal|comply|do (?:that|this|so))"
-# The refusal grammars.
-REFUSALS = [
-    rf"\bi ?{_EN_CANNOT}\b[^.!?]*?\b{_EN_TELL}",
-    r"\bi (?:(?:have|need|must|am going|would like) (?:to )?|will |'ll |must )?(?:decline|refuse|pass)\b",
-    r"\bi(?:'ll| will| must| have to) pass\b",
-    r"\bno (?:reply|answer|comment|response|information) (?:can|may|will) be (?:given|provided|made)",
-    r"\b(?:answering|replying|responding|helping|doing so|that|this|it) would (?:go against|violate|breach|be against)\b",
-    r"\b(?:nothing|not something|not a (?:topic|subject|question)) (?:that )?i (?:may|can|am able to|am allowed to|'m able to|'m allowed to|will)\b",
-    r"\b(?:outside|beyond) (?:of )?what i (?:am|'m|may|can)\b",
-    r"\bmy (?:instructions|guidelines|rules|policy|policies|programming)\b[^.!?]*?\b(?:keep|prevent|forbid|prohibit|stop|don't|do not|won't|bar)",
-    r"\bagainst (?:my|the|our) (?:instructions|guidelines|rules|policy|policies)\b",
-    r"\binappropriate (?:for me )?to (?:respond|answer|reply|comment|say|discuss|help)",
-    r"\b(?:kann|darf|möchte|will|werde|könnte|dürfte) ich\b[^.!?]*?\b(?:nicht|nichts|kein\w*)\b",
-    r"\bich (?:kann|darf|möchte|will|werde)\b[^.!?]*?\b(?:nicht|nichts|kein\w*)\b",
-    r"\b(?:bin ich|ich bin)\b[^.!?]*?\b(?:nicht in der lage|nicht befugt|nicht berechtigt|außerstande)",
-    r"\b(?:äußere ich mich|ich äußere mich|sage ich|ich sage|spreche ich|ich spreche)\b[^.!?]*?\bnichts?\b",
-    r"\b(?:muss ich|ich muss)\b[^.!?]*?\b(?:ablehnen|passen|verweigern|absagen)\b",
-    r"\b(?:lehne ich|ich lehne)\b[^.!?]*?\bab\b",
-    r"\b(?:untersagen|verbieten) (?:mir|es mir)\b",
-    r"\bje (?:ne |n')(?:peux|puis|souhaite|veux|dois|suis|saurais|vais|pourrai)\b[^.!?]*?\b(?:pas|rien|évoquer|répondre|parler)\b",
-    r"\bje (?:préfère|préférerais|préférais) (?:ne |n')",
-    r"\bje (?:dois|me vois (?:obligée? de|contrainte? de)|suis (?:obligée? de|contrainte? de)) (?:refuser|décliner)",
-    r"\bje (?:refuse|décline)\b",
-    r"\bm'(?:interdisent|empêchent|interdit|empêche)\b",
-    r"\bil (?:m'est|ne m'est pas)\b[^.!?]*?\b(?:impossible|possible|permis|interdit)\b",
-    r"\bno (?:puedo|voy a|quiero|debo|deseo|podría|sabría)\b",
-    r"\bno (?:estoy|me encuentro) (?:en condiciones|autorizad[oa]|capacitad[oa])",
-    r"\bno (?:me está|se me) (?:permitido|permite)",
-    r"\bprefiero no\b|\bpreferiría no\b",
-    r"\b(?:debo|tengo que|he de) (?:rechazar|declinar|negarme)",
-    r"\b(?:me impiden|me prohíben|me lo impiden|me lo prohíben)\b",
-]
-_REFUSAL = re.compile("|".join(REFUSALS))
+# The refusal grammars, one a language. A production is a sequence of words and <symbols>; "..." skips words
+# of the same sentence, "?" after a part makes it optional, "-" before one joins it to the part before, "~" stands for the
+# ending of a word.
+GRAMMARS = {
+    "en": {
+        "refusal": ["<i> <unable> ... <act>", "<i> <will>? <decline>", "<i> <pass on>", "no <reply> <may> be <given>", "<acting> would <breach>", "<no topic> that? i <be able>", "<beyond> what i <be able>", "my <norm> ... <bar>", "against <whose> <norm>", "inappropriate for? me? to <act>"],
+        "i": ["i"],
+        "unable": ["can't", "cant", "cannot", "can not", "couldn't", "could not", "won't", "will not", "wouldn't", "would not", "<am> <not able>", "may not", "must not", "<would> <rather not>", "prefer not"],
+        "am": ["am", "-'m"],
+        "not able": ["unable", "not able", "not allowed", "not permitted", "not in a position"],
+        "would": ["would", "-'d"],
+        "rather not": ["rather not", "prefer not"],
+        "act": ["answer~", "reply~", "respond~", "help~", "assist~", "discuss~", "say~", "talk~", "speak~", "comment~", "share~", "provide~", "give~", "disclose~", "reveal~", "comply~", "do that", "do this", "do so"],
+        "will": ["have to", "have", "need to", "must", "am going to", "would like to", "will", "-'ll must", "-'ll"],
+        "decline": ["decline", "refuse", "pass"],
+        "pass on": ["-'ll pass", "will pass", "must pass", "have to pass"],
+        "reply": ["reply", "answer", "comment", "response", "information"],
+        "may": ["can", "may", "will"],
+        "given": ["given", "provided", "made"],
+        "acting": ["answering", "replying", "responding", "helping", "doing so", "that", "this", "it"],
+        "breach": ["go against", "violate", "breach", "be against"],
+        "no topic": ["nothing", "not something", "not a topic", "not a subject", "not a question"],
+        "be able": ["may", "can", "will", "<am> able to", "<am> allowed to", "am", "-'m"],
+        "beyond": ["outside of?", "beyond"],
+        "norm": ["instructions", "guidelines", "rules", "policy", "policies", "programming"],
+        "bar": ["keep~", "prevent~", "forbid~", "prohibit~", "stop~", "don't", "do not", "won't", "bar~"],
+        "whose": ["my", "the", "our"],
+    },
+    "de": {
+        "refusal": ["<modal> ich ... <no>", "ich <modal> ... <no>", "<i am> ... <not able>", "<i speak> ... nichts", "<i speak> ... nicht", "<i must> ... <decline>", "<i decline> ... ab", "<forbid> es? mir"],
+        "modal": ["kann", "darf", "möchte", "will", "werde", "könnte", "dürfte"],
+        "no": ["nicht", "nichts", "kein~"],
+        "i am": ["bin ich", "ich bin"],
+        "not able": ["nicht in der lage", "nicht befugt", "nicht berechtigt", "außerstande"],
+        "i speak": ["äußere ich mich", "ich äußere mich", "sage ich", "ich sage", "spreche ich", "ich spreche"],
+        "i must": ["muss ich", "ich muss"],
+        "decline": ["ablehnen", "passen", "verweigern", "absagen"],
+        "i decline": ["lehne ich", "ich lehne"],
+        "forbid": ["untersagen", "verbieten"],
+    },
+    "fr": {
+        "refusal": ["je <ne> -<modal> ... <act>", "je <prefer> <ne>", "je <must> <decline>", "je refuse", "je décline", "m' -<forbid>", "il <to me> ... <impossible>"],
+        "ne": ["ne", "n'"],
+        "modal": ["peux", "puis", "souhaite", "veux", "dois", "suis", "saurais", "vais", "pourrai"],
+        "act": ["pas", "rien", "évoquer", "répondre", "parler"],
+        "prefer": ["préfère", "préférerais", "préférais"],
+        "must": ["dois", "me vois obligé de", "me vois obligée de", "me vois contraint de", "me vois contrainte de", "suis obligé de", "suis obligée de", "suis contraint de", "suis contrainte de"],
+        "decline": ["refuser", "décliner"],
+        "forbid": ["interdisent", "empêchent", "interdit", "empêche"],
+        "to me": ["m'est", "ne m'est pas"],
+        "impossible": ["impossible", "possible", "permis", "interdit"],
+    },
+    "es": {
+        "refusal": ["no <modal>", "no <be> <able>", "no <me> <allowed>", "<prefer> no", "<must> <decline>", "<they> <bar>"],
+        "modal": ["puedo", "voy a", "quiero", "debo", "deseo", "podría", "sabría"],
+        "be": ["estoy", "me encuentro"],
+        "able": ["en condiciones~", "autorizado~", "autorizada~", "capacitado~", "capacitada~"],
+        "me": ["me está", "se me"],
+        "allowed": ["permitido~", "permite~"],
+        "prefer": ["prefiero", "preferiría"],
+        "must": ["debo", "tengo que", "he de"],
+        "decline": ["rechazar~", "declinar~", "negarme~"],
+        "they": ["me", "me lo"],
+        "bar": ["impiden", "prohíben"],
+    },
+}
+
+
+def expand(grammar: dict[str, list[str]], production: str, gap: str = "") -> str:
+    """The pattern of a production; `gap` stands before its first part, white space between the others."""
+    out = ""
+    for part in re.findall(r"-?(?:<[^>]+>|\.\.\.|[^\s?]+)\??", production):
+        name = part.strip("-?")
+        if name == "...":
+            out, gap = out + r"\b[^.!?]*?\b", ""
+            continue
+        here = r"\s*" if gap and part[0] == "-" else gap
+        if name[0] == "<":
+            pattern = "(?:" + "|".join(expand(grammar, p, here) for p in grammar[name[1:-1]]) + ")"
+        else:
+            pattern = here + (re.escape(name[:-1]) + r"\w*" if name[-1] == "~" else re.escape(name) + r"\b" * name[-1].isalnum())
+        out, gap = out + (f"(?:{pattern})?" if part[-1] == "?" else pattern), r"\s+"
+    return out
+
+
+_REFUSAL = re.compile(r"\b(?:" + "|".join(expand(g, p) for g in GRAMMARS.values() for p in g["refusal"]) + ")")
 _QUOTES = {'"': re.compile('["\n]'), "“": re.compile("”"), "„": re.compile("[“”]"), "«": re.compile("»")}
 _QUOTE = re.compile("[\"“„«]")
 # What is long counts as a tag only if it has an attribute with a value.
@@ -92,6 +143,8 @@ _TAG = re.compile(r"<[^<>]{0,40}>|<[a-zA-Z][a-zA-Z0-9]{0,15}(?=\s[^<>]*=)(?:\s+[
 _MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,15})([^<>]*)(>?)")
 _ITEM = re.compile(r"([^\S\n]*)(?:[-*•–]|\d+[.)])(?:[^\S\n]+\[[ xX]\])?(?=\s|$)")
 _OPEN, _CLOSE = "([{«„“", ")]}»””"
+#: What can open anything: without it there is nothing to parse.
+_STRUCTURE = re.compile(r"[\"<(\[{«„“]|```|^[^\S\n]*(?:[-*•–]|\d+[.)])(?=\s|$)", re.MULTILINE)
 
 
 def is_empty(text: str | None) -> bool:
@@ -128,6 +181,8 @@ def open_structures(text: str) -> list[str]:
     A closing mark without its partner is passed over, as in numbered lists or smileys. A plain quotation mark opens after white
     space or an opening bracket and closes otherwise, so that inch marks don't count.
     """
+    if not _STRUCTURE.search(text):
+        return []
     stack: list[str] = []
     items: list[list] = []
     k, n = 0, len(text)
@@ -278,12 +333,13 @@ def script(text: str) -> str | None:
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts: Counter[tuple[str, str]] = Counter()
-        for question, text in zip(batch["question"], batch["text"], strict=True):
-            language = question_language(_WORD.findall((question or "").lower()))
-            if language and text:
-                counts.update((w, language) for w in set(_reply_words(text)))
-        yield pd.DataFrame([(w, language, n) for (w, language), n in counts.items()], columns=["word", "language", "n"])
+        counts: dict[str, Counter[str]] = {}
+        for question, texts in zip(batch["question"], batch["texts"], strict=True):
+            if language := question_language(_WORD.findall((question or "").lower())):
+                for text in texts:
+                    if text:
+                        counts.setdefault(language, Counter()).update(set(_reply_words(text)))
+        yield pd.DataFrame([(w, language, n) for language, words in counts.items() for w, n in words.items()], columns=["word", "language", "n"])
 
 
 class LanguageModel:
@@ -304,14 +360,21 @@ class LanguageModel:
         return max(v for k, v in sums.items() if k != own) - sums[own]
 
 
-def _language_differs(model: LanguageModel, question: str, text: str) -> bool:
-    q, t = script(question), script(text)
-    if q and t and q != t:
+class Question:
+    """What of a question its replies are held against."""
+
+    def __init__(self, text: str | None):
+        text = text or ""
+        words = _WORD.findall(text.lower())
+        self.script, self.language, self.words = script(text), question_language(words), set(words)
+        self.asked = words[1:] if len(words) > 1 and words[0] in ("q", "question", "frage", "pregunta") else words
+
+
+def _language_differs(model: LanguageModel, question: Question, text: str) -> bool:
+    own = question.language
+    if question.script and (t := script(text)) and question.script != t:
         return True
-    words = _WORD.findall(question.lower())
-    own = question_language(words)
-    asked = set(words)
-    return own is not None and model.margin([w for w in _reply_words(text) if w.lstrip("^") not in asked], own) > LANGUAGE_MARGIN
+    return own is not None and model.margin([w for w in _reply_words(text) if w.lstrip("^") not in question.words], own) > LANGUAGE_MARGIN
 
 
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\s\")\]”»]*$")
@@ -333,7 +396,7 @@ def stops_short(text: str, siblings: list[str]) -> bool | None:
         return None if re.search(r"[^\W\d_]\.[\"'”’»)\]*_]*$", text[-16:]) else False
     if not text[-1:].isalnum():
         return text[-1:] not in "\"'”’»)]}*_%°€$£`"
-    words = _WORD.findall(text[-400:].lower())
+    words = _WORD.findall(text.lower()) if siblings else []
     if len(words) > 1:
         for other in siblings:
             theirs = _WORD.findall(other.lower())
@@ -343,33 +406,32 @@ def stops_short(text: str, siblings: list[str]) -> bool | None:
     return None
 
 
+def verdict(model: LanguageModel, question: Question, text: str | None, siblings: list[str]) -> str | None:
+    """The defect of a reply, None for none, 'ask' if only the corpus can tell."""
+    if is_empty(text):
+        return "empty"
+    if _REFUSAL.search(unquoted(text).replace("’", "'").lower()):
+        return "refusal"
+    if is_echo(question.asked, _WORD.findall(text.lower())):
+        return "echo"
+    if _language_differs(model, question, text):
+        return "language"
+    short = stops_short(text, siblings)
+    return "ask" if short is None else "truncated" if short else None
+
+
 def _judge(model: LanguageModel):
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for pid, question, text, siblings in zip(batch["pid"], batch["question"], batch["text"], batch["siblings"], strict=True):
-                question = question or ""
-                if is_empty(text):
-                    out.append((pid, "empty"))
-                    continue
-                plain = unquoted(text).replace("’", "'").lower()
-                if _REFUSAL.search(plain):
-                    out.append((pid, "refusal"))
-                    continue
-                asked = [w for w in _WORD.findall(question.lower())]
-                asked = asked[1:] if len(asked) > 1 and asked[0] in ("q", "question", "frage", "pregunta") else asked
-                if is_echo(asked, _WORD.findall(text.lower())):
-                    out.append((pid, "echo"))
-                    continue
-                if _language_differs(model, question, text):
-                    out.append((pid, "language"))
-                    continue
-                short = stops_short(text, [s for s in siblings if s and s != text])
-                if short is None:
-                    out.append((pid, "ask"))
-                elif short:
-                    out.append((pid, "truncated"))
-            yield pd.DataFrame(out, columns=["pid", "verdict"])
+            for qid, asked, excused, texts in zip(batch["qid"], batch["question"], batch["excused"], batch["texts"], strict=True):
+                question = Question(asked)
+                for part, text in enumerate(texts):
+                    if part or text is not None or not excused:
+                        found = verdict(model, question, text, [s for s in texts if s and s != text])
+                        if found:
+                            out.append((qid, part, found, text if found == "ask" else None))
+            yield pd.DataFrame(out, columns=["qid", "part", "verdict", "text"])
 
     return judge
 
@@ -381,27 +443,24 @@ def find_defective_pairs(questions: DataFrame) -> DataFrame:
     text). A missing answer is a defect unless `no_answer` is true; null flags count as false, a null list of claims
     as none. Rows repeated in full count once. A null question echoes nothing and has no language.
     """
-    rows = questions.select("question_id", F.col("text").alias("question"), F.coalesce("no_answer", F.lit(False)).alias("no_answer"), F.col("response.answer").alias("answer"), F.expr("transform(response.claims, c -> c.text)").alias("claims")).distinct()
-    claims = F.coalesce("claims", F.array().cast("array<string>"))
-    parts = F.concat(F.array(F.struct(F.lit(0).alias("part"), F.col("answer").alias("text"))), F.transform(claims, lambda c, i: F.struct((i + 1).alias("part"), c.alias("text"))))
-    listed = rows.select("question_id", "question", "no_answer", F.explode(parts).alias("p"), F.concat(F.array("answer"), claims).alias("siblings"))
-    listed = listed.where("not (no_answer and p.part = 0 and p.text is null)")
-    listed = cut_lineage(listed.select(F.monotonically_increasing_id().alias("pid"), "question_id", "question", "p.part", "p.text", "siblings"))
-
-    total = listed.count()
-    counted = listed.select("question", "text").mapInPandas(_count_words, "word string, language string, n long").groupBy("word", "language").agg(F.sum("n").alias("n"))
+    rows = questions.select("question_id", F.col("text").alias("question"), F.coalesce("no_answer", F.lit(False)).alias("excused"), F.col("response.answer").alias("answer"), F.expr("transform(response.claims, c -> c.text)").alias("claims")).distinct()
+    texts = F.concat(F.array("answer"), F.coalesce("claims", F.array().cast("array<string>")))
+    rows = cut_lineage(rows.select(F.monotonically_increasing_id().alias("qid"), "question_id", "question", "excused", texts.alias("texts")))
+
+    replies = rows.select(F.explode("texts").alias("text")).where("text is not null")
+    total = replies.count()
+    counted = cut_lineage(rows.select("question", "texts").mapInPandas(_count_words, "word string, language string, n long").groupBy("word", "language").agg(F.sum("n").alias("n")))
     # At most WORD_SHARE words times the words of a reply pass this: a bounded table, however large the corpus.
     frequent = counted.join(counted.groupBy("word").agg(F.sum("n").alias("all")), "word").where(F.col("all") >= F.when(F.col("word").startswith("^"), max(MIN_REPLIES_CAPITAL, total // WORD_SHARE)).otherwise(max(MIN_REPLIES, total // WORD_SHARE))).collect()
     totals = {r.language: r.n for r in counted.groupBy("language").agg(F.max("n").alias("n")).collect()}
     model = LanguageModel([(r.word, r.language, r.n) for r in frequent], totals)
 
-    verdicts = cut_lineage(listed.select("pid", "question", "text", "siblings").mapInPandas(_judge(model), "pid long, verdict string"))
-    asked = listed.join(verdicts.where("verdict = 'ask'").select("pid"), "pid", "left_semi").select(F.col("pid").alias("id"), "text")
-    evidence = ending_evidence(listed.select("text"), asked, copies_count=True)
+    verdicts = cut_lineage(rows.select("qid", "question", "excused", "texts").mapInPandas(_judge(model), "qid long, part int, verdict string, text string").withColumn("id", F.monotonically_increasing_id()))
+    evidence = ending_evidence(replies, verdicts.where("verdict = 'ask'").select("id", "text"), copies_count=True)
     stopped = F.col("dot_rate").isNotNull()
-    told = evidence.where((~stopped & (F.col("longer").isNotNull() | (F.col("end_rate") < LOW_END_RATE))) | (F.col("dot_rate") < LOW_DOT_RATE))
-    found = verdicts.where("verdict <> 'ask'").unionByName(told.select(F.col("id").alias("pid"), F.lit("truncated").alias("verdict")))
-    return listed.join(found, "pid").select("question_id", "part", F.col("verdict").alias("defect"))
+    told = evidence.where((~stopped & (F.col("longer").isNotNull() | (F.col("end_rate") < LOW_END_RATE))) | (F.col("dot_rate") < LOW_DOT_RATE)).select("id", F.lit("truncated").alias("told"))
+    found = verdicts.drop("text").join(told, "id", "left").withColumn("defect", F.coalesce("told", F.when(F.col("verdict") != "ask", F.col("verdict")))).where("defect is not null")
+    return rows.select("qid", "question_id").join(found, "qid").select("question_id", "part", "defect")
 
 
 def one_defect(found: DataFrame) -> DataFrame:
