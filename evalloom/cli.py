@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from importlib import resources
 
 from pyspark.sql import SparkSession
 
@@ -13,7 +12,7 @@ from evalloom.plans.evaluator import Evaluator, compare_reports
 from evalloom.plans.sweep import SweepError
 from evalloom.runtime import get_spark
 from evalloom.sources import artifacts
-from evalloom.sources.contract import ContractError, Suite
+from evalloom.sources.contract import ContractError, Suite, demo_suite
 
 
 def _list(value: str) -> list[str]:
@@ -30,10 +29,6 @@ def _whole(value: str) -> list[int]:
         raise ContractError("expected whole numbers") from problem
 
 
-def demo_suite() -> Suite:
-    return Suite.from_json(resources.files("evalloom").joinpath("data/demo.json").read_text(encoding="utf-8"))
-
-
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="evalloom", description="Evaluates retrieval-augmented question answering.")
     commands = top.add_subparsers(dest="command", required=True)

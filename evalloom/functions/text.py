@@ -35,6 +35,11 @@ def ascii_token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]{2,}"))
 
 
+def is_blank(text: Column) -> Column:
+    """Whether a text is missing or nothing but white space of any kind."""
+    return F.coalesce(text.rlike(f"^[{WHITESPACE}]*\\z"), F.lit(True))
+
+
 def letters_only(text: Column) -> Column:
     """The letters and digits of a text, in order and in lower case."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{ALNUM}]+", "")

@@ -6,10 +6,13 @@ import math
 import random
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.runtime import cut_lineage
+
 MAX_BOOTSTRAP_VALUES = 10_000
 ITERATIONS, CONFIDENCE, SEED = 1000, 0.95, 17
 
@@ -66,18 +69,48 @@ def bootstrap_mean_ci(values: Iterable[float], iterations: int = ITERATIONS, con
     return {"mean": round(sum(data) / n, 6), "lower": place(low), "upper": place(high), "iterations": iterations, "seed": seed}
 
 
+def binomial_ci(n: int, hits: int, confidence: float = CONFIDENCE) -> tuple[float, float]:
+    """The percentile interval that resampling `n` values, `hits` of them 1 and the others 0, tends to.
+
+    Such a resampled sum is binomial, so its quantiles need no draws: probabilities are summed within 12 standard
+    deviations of the mean, where all but 1e-30 of them lies.
+    """
+    p = hits / n
+    if p in (0.0, 1.0):
+        return p, p
+    reach = int(12 * math.sqrt(n * p * (1 - p))) + 12
+    low, high = max(0, hits - reach), min(n, hits + reach)
+    k = np.arange(low, high)
+    steps = np.log(n - k) - np.log(k + 1) + math.log(p) - math.log1p(-p)
+    logs = np.concatenate(([0.0], np.cumsum(steps)))
+    mass = np.exp(logs - logs.max())
+    below = np.cumsum(mass) / mass.sum()
+    tail = (1 - confidence) / 2
+    return tuple((low + int(np.searchsorted(below, q))) / n for q in (tail, 1 - tail))
+
+
 def pass_rate_ci(records: DataFrame, seed: int = SEED) -> DataFrame:
-    """The interval of each suite's pass rate; question order decides the stream, and a suite of more than 10,000 questions is an error."""
+    """The interval of each suite's pass rate; question order decides the stream of draws.
+
+    A suite of more questions than one bootstrap takes has the interval that draws tend to (`iterations` 0), from its
+    counts alone.
+    """
 
     def interval(rows: pd.DataFrame) -> pd.DataFrame:
         ci = bootstrap_mean_ci(rows.sort_values(["question_pos", "question_id"])["passed"].astype(float), seed=seed)
         return pd.DataFrame([{"suite_id": rows["suite_id"].iloc[0], **ci}])
 
-    sizes = records.groupBy("suite_id").agg(F.count("*").alias("n"))
-    # The bound is checked before any suite is put into one task.
-    checked = sizes.withColumn("ok", F.when(F.col("n") <= MAX_BOOTSTRAP_VALUES, True).otherwise(F.raise_error(F.lit(f"a bootstrap takes up to {MAX_BOOTSTRAP_VALUES} values"))))
-    rows = records.select("suite_id", "question_pos", "question_id", "passed").join(checked.where("ok").select("suite_id"), "suite_id")
-    return rows.groupBy("suite_id").applyInPandas(interval, "suite_id string, mean double, lower double, upper double, iterations int, seed int")
+    def of_counts(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            ends = [binomial_ci(n, hits) for n, hits in zip(batch["n"].tolist(), batch["hits"].tolist(), strict=True)]
+            yield pd.DataFrame({"suite_id": batch["suite_id"], "mean": (batch["hits"] / batch["n"]).round(6), "lower": [round(x, 6) for x, _ in ends], "upper": [round(x, 6) for _, x in ends], "iterations": 0, "seed": seed})
+
+    schema = "suite_id string, mean double, lower double, upper double, iterations int, seed int"
+    records = cut_lineage(records.select("suite_id", "question_pos", "question_id", "passed"))
+    sizes = records.groupBy("suite_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("hits"))
+    # Only suites of a bounded size are put into one task.
+    rows = records.join(sizes.where(F.col("n") <= MAX_BOOTSTRAP_VALUES).select("suite_id"), "suite_id")
+    return rows.groupBy("suite_id").applyInPandas(interval, schema).unionByName(sizes.where(F.col("n") > MAX_BOOTSTRAP_VALUES).mapInPandas(of_counts, schema))
 
 
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

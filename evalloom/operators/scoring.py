@@ -20,9 +20,11 @@ from evalloom.functions.text import hashed_bucket, hashed_sign, tokens
 from evalloom.operators.corpus import with_suite
 from evalloom.operators.index import document_frequency_of, postings_of, run_lengths, stats_of, term_idf, tokenized
 from evalloom.runtime import broadcast_if_small, cut_lineage
+from evalloom.sources.contract import ContractError
 
 K1, B = 1.5, 0.75
 SLOTS = 128
+MAX_LIMIT = 1000
 STRATEGIES = ("overlap", "bm25", "tfidf", "hashing", "hybrid")
 #: Questions and chunks that meet in one task, and chunks scored at once.
 QUESTIONS_TOGETHER, CHUNKS_TOGETHER, TILE = 2048, 4096, 512
@@ -37,6 +39,15 @@ class Index:
     def __init__(self, chunks: DataFrame, questions: DataFrame):
         self._chunks, self._questions = chunks, questions
 
+    def check(self) -> Index:
+        """An error if the index has no chunk, or two of a suite with one id."""
+        ids = self._chunks.groupBy("suite_id", "chunk_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("chunks"), F.max("n").alias("most")).first()
+        if not ids.chunks:
+            raise ContractError("an index needs a chunk")
+        if ids.most > 1:
+            raise ContractError("chunk ids must be unique")
+        return self
+
     @cached_property
     def token_lists(self) -> DataFrame:
         # Documents are validated, cut and tokenised once for all that follows.
@@ -183,6 +194,9 @@ def retrieve(strategy: str, index: Index, suites: DataFrame) -> DataFrame:
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {sorted(STRATEGIES)}")
+    limits = suites.agg(F.min("retrieval_k"), F.max("retrieval_k")).first()
+    if any(k is not None and not 1 <= k <= MAX_LIMIT for k in limits):
+        raise ContractError(f"retrieval_k must be a whole number from 1 to {MAX_LIMIT}")
     weight = F.col("hybrid_weight") if "hybrid_weight" in suites.columns else F.lit(0.5)
     settings = suites.select("suite_id", "retrieval_k", F.coalesce(weight, F.lit(0.5)).alias("hybrid_weight"))
     questions, chunks = index.queries(strategy), index.targets(strategy)

@@ -6,6 +6,9 @@ import re
 
 _WORDS = r"[^\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
+_BLANK = _WORDS.replace("[^", "[").removesuffix("+") + "*"
+_ID = "[a-z0-9][a-z0-9._-]{0,63}"
+
 
 def _tokens(text: str) -> str:
     return f"list_transform(list_filter(regexp_extract_all({text}, '[A-Za-z0-9]+'), lambda t: length(t) > 1), lambda t: lower(t))"
@@ -194,14 +197,36 @@ def oracle_sql() -> dict[str, str]:
         "contract_violations": r"""
 SELECT * FROM (SELECT record_id, array_to_string(list_filter([
   CASE WHEN NOT coalesce(regexp_full_match(source_id, '[a-z0-9][a-z0-9._-]{0,63}'), FALSE) THEN 'source_id' END,
-  CASE WHEN coalesce(regexp_full_match(title, '\s*'), TRUE) OR length(title) > 200 THEN 'title' END,
-  CASE WHEN coalesce(regexp_full_match(source_url, '\s*'), TRUE) OR length(source_url) > 500 THEN 'source_url' END,
-  CASE WHEN coalesce(regexp_full_match(license, '\s*'), TRUE) OR length(license) > 100 THEN 'license' END,
+  CASE WHEN coalesce(regexp_full_match(title, '{BLANK}'), TRUE) OR length(title) > 200 THEN 'title' END,
+  CASE WHEN coalesce(regexp_full_match(source_url, '{BLANK}'), TRUE) OR length(source_url) > 500 THEN 'source_url' END,
+  CASE WHEN coalesce(regexp_full_match(license, '{BLANK}'), TRUE) OR length(license) > 100 THEN 'license' END,
   CASE WHEN NOT coalesce(trust IN ('trusted', 'untrusted', 'blocked'), FALSE) THEN 'trust' END,
   CASE WHEN observed_at IS NULL THEN 'observed_at' END,
-  CASE WHEN coalesce(regexp_full_match(content, '\s*'), TRUE) OR length(content) > 200000 THEN 'content' END,
+  CASE WHEN coalesce(regexp_full_match(content, '{BLANK}'), TRUE) OR length(content) > 200000 THEN 'content' END,
   CASE WHEN NOT coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), FALSE) THEN 'sha256' END], lambda x: x IS NOT NULL), ',') AS violations FROM source_docs)
-WHERE violations <> ''""",
+WHERE violations <> ''""".replace("{BLANK}", _BLANK),
+        "question_violations": rf"""
+WITH q AS (
+  SELECT suite_id, question_id, text, coalesce(expected_source_ids, []) AS expected, no_answer, response, response.answer AS answer, coalesce(response.claims, []) AS claims
+  FROM (SELECT DISTINCT suite_id, question_id, text, expected_source_ids, no_answer, response FROM questions)
+)
+SELECT * FROM (SELECT suite_id, question_id, array_to_string(list_filter([
+  CASE WHEN NOT coalesce(regexp_full_match(question_id, '{_ID}'), FALSE) THEN 'question_id' END,
+  CASE WHEN coalesce(regexp_full_match(text, '{_BLANK}'), TRUE) OR length(text) > 10000 THEN 'text' END,
+  CASE WHEN len(list_filter(expected, lambda x: NOT coalesce(regexp_full_match(x, '{_ID}'), FALSE))) > 0 THEN 'expected_source_ids' END,
+  CASE WHEN len(list_distinct(expected)) < len(expected) THEN 'repeated_expected_source' END,
+  CASE WHEN no_answer IS NULL THEN 'no_answer' END,
+  CASE WHEN no_answer <> (len(expected) = 0) THEN 'expectation' END,
+  CASE WHEN response IS NULL THEN 'response' END,
+  CASE WHEN answer IS NOT NULL AND (regexp_full_match(answer, '{_BLANK}') OR length(answer) > 10000) THEN 'answer' END,
+  CASE WHEN response IS NOT NULL AND (answer IS NULL) <> (len(claims) = 0) THEN 'claims' END,
+  CASE WHEN len(list_filter(claims, lambda c: coalesce(regexp_full_match(c.text, '{_BLANK}'), TRUE) OR length(c.text) > 10000)) > 0 THEN 'claim_text' END,
+  CASE WHEN len(list_filter(claims, lambda c: len(coalesce(c.citations, [])) = 0 OR len(list_filter(c.citations, lambda x: NOT coalesce(regexp_full_match(x, '{_ID}'), FALSE))) > 0)) > 0 THEN 'citations' END,
+  CASE WHEN len(list_filter(claims, lambda c: len(list_distinct(coalesce(c.citations, []))) < len(coalesce(c.citations, [])))) > 0 THEN 'repeated_citation' END
+  ], lambda x: x IS NOT NULL), ',') AS violations FROM q) WHERE violations <> ''""",
+        "repeated_ids": """
+SELECT kind, suite_id, id, count(*) AS n FROM (SELECT 'source' AS kind, suite_id, source_id AS id FROM source_docs UNION ALL SELECT 'question', suite_id, question_id FROM questions)
+WHERE id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
         "unknown_expected_sources": f"WITH sources AS ({_CTES['sources']}), asked AS ({_CTES['asked']}) SELECT suite_id, question_id, source_id FROM (SELECT suite_id, question_id, unnest(expected) AS source_id FROM asked) ANTI JOIN sources USING (suite_id, source_id)",
         "document_validation": _with("SELECT suite_id, source_id, len(errors) = 0 AS valid, array_to_string(errors, ',') AS errors FROM validated", upto="validated"),
         "valid_documents": _with("SELECT suite_id, source_id FROM valid", upto="valid"),

@@ -11,7 +11,7 @@ from functools import cached_property, partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import content_sha256, hashed_bucket, hashed_sign, tokens
+from evalloom.functions.text import content_sha256, hashed_bucket, hashed_sign, is_blank, tokens
 from evalloom.operators import corpus, index, judging, metrics, scoring
 from evalloom.plans import sweep
 from evalloom.runtime import read_table
@@ -78,7 +78,7 @@ def r6(name: str) -> Column:
 def contract_violations(spark: SparkSession, directory: str) -> DataFrame:
     """Records that break the contract of a document, and how."""
     t = read_table(spark, directory, "source_docs")
-    blank = lambda c: F.coalesce(F.col(c).rlike("^\\s*$"), F.lit(True))
+    blank = lambda c: is_blank(F.col(c))
     codes = {
         "source_id": ~F.coalesce(F.col("source_id").rlike("^[a-z0-9][a-z0-9._-]{0,63}\\z"), F.lit(False)),
         "title": blank("title") | (F.length("title") > 200),
@@ -93,6 +93,40 @@ def contract_violations(spark: SparkSession, directory: str) -> DataFrame:
     return t.select("record_id", joined(found).alias("violations")).where("violations <> ''")
 
 
+def question_violations(spark: SparkSession, directory: str) -> DataFrame:
+    """Questions that break the contract of a question, a response or a claim, and how. Rows repeated in full count once."""
+    t = read_table(spark, directory, "questions").select("suite_id", "question_id", "text", "expected_source_ids", "no_answer", "response").distinct()
+    no_ids, no_claims = F.array().cast("array<string>"), F.array().cast("array<struct<text:string,citations:array<string>>>")
+    expected, claims, answer = F.coalesce("expected_source_ids", no_ids), F.coalesce("response.claims", no_claims), F.col("response.answer")
+    named = lambda c: F.coalesce(c.rlike("^[a-z0-9][a-z0-9._-]{0,63}\\z"), F.lit(False))
+    repeats = lambda ids: F.size(F.array_distinct(ids)) < F.size(ids)
+    bad_text = lambda c: is_blank(c) | (F.length(c) > 10_000)
+    cited = lambda c: F.coalesce(c["citations"], no_ids)
+    codes = {
+        "question_id": ~named(F.col("question_id")),
+        "text": bad_text(F.col("text")),
+        "expected_source_ids": F.exists(expected, lambda x: ~named(x)),
+        "repeated_expected_source": repeats(expected),
+        "no_answer": F.col("no_answer").isNull(),
+        "expectation": F.coalesce(F.col("no_answer") != (F.size(expected) == 0), F.lit(False)),
+        "response": F.col("response").isNull(),
+        "answer": answer.isNotNull() & bad_text(answer),
+        "claims": F.col("response").isNotNull() & (answer.isNull() != (F.size(claims) == 0)),
+        "claim_text": F.exists(claims, lambda c: bad_text(c["text"])),
+        "citations": F.exists(claims, lambda c: (F.size(cited(c)) == 0) | F.exists(cited(c), lambda x: ~named(x))),
+        "repeated_citation": F.exists(claims, lambda c: repeats(cited(c))),
+    }
+    found = F.array_compact(F.array(*(F.when(bad, F.lit(code)) for code, bad in codes.items())))
+    return t.select("suite_id", "question_id", joined(found).alias("violations")).where("violations <> ''")
+
+
+def repeated_ids(spark: SparkSession, directory: str) -> DataFrame:
+    """Source and question ids that a suite has more than once, and how often; a contract allows each once."""
+    kinds = {"source": ("source_docs", "source_id"), "question": ("questions", "question_id")}
+    rows = [read_table(spark, directory, table).select(F.lit(kind).alias("kind"), "suite_id", F.col(column).alias("id")) for kind, (table, column) in kinds.items()]
+    return reduce(DataFrame.unionByName, rows).where("id is not null").groupBy("kind", "suite_id", "id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def unknown_expected_sources(spark: SparkSession, directory: str) -> DataFrame:
     t = Tables(spark, directory)
     named = t.asked.select("suite_id", "question_id", F.explode("expected").alias("source_id"))
@@ -237,7 +271,7 @@ def sweep_runs(spark: SparkSession, directory: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        contract_violations, unknown_expected_sources, document_validation, valid_documents, content_hashes, tokenize_documents, chunk_counts, chunk_documents,
+        contract_violations, question_violations, repeated_ids, unknown_expected_sources, document_validation, valid_documents, content_hashes, tokenize_documents, chunk_counts, chunk_documents,
         index_manifest_chunks, duplicate_documents, inventory_summary, chunk_postings, document_frequency, index_stats, term_idf, tfidf_norms, hashed_token_buckets,
         hashed_vectors, claim_support, citation_errors, question_verdicts, question_records, suite_metrics, pass_rate_ci, compare_strategies, sweep_grid, sweep_runs,
     )

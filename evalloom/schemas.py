@@ -6,3 +6,8 @@ SUITES = "suite_id string, schema_version string, version string, evaluation_dat
 
 STRATEGIES = ("overlap", "bm25", "tfidf", "hybrid")
 TRUST_STATES = ("trusted", "untrusted", "blocked")
+
+# Versions of suites and reports, and what is judged.
+SUITE_VERSIONS = ("1.0",)
+REPORT_VERSIONS = ("1.0", "2.0")
+JUDGES = ("retrieval", "citation", "groundedness", "no_answer")

@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
+from importlib import resources
 from pathlib import Path
 from typing import Any
 
@@ -275,3 +276,8 @@ class Suite:
         documents = [x | {"suite_id": d["suite_id"], "doc_pos": i} for i, x in enumerate(d["documents"])]
         questions = [x | {"suite_id": d["suite_id"], "question_pos": i} for i, x in enumerate(d["questions"])]
         return pick(schemas.DOCUMENTS, documents), pick(schemas.QUESTIONS, questions), pick(schemas.SUITES, [d])
+
+
+def demo_suite() -> Suite:
+    """The bundled suite."""
+    return Suite.from_json(resources.files("evalloom").joinpath("data/demo.json").read_text(encoding="utf-8"))
