@@ -53,15 +53,9 @@ _SURVIVORS = (
 )"""
 )
 
-_SPACE = r"[^\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": _CANON + " SELECT first_id AS first_record_id, record_id AS copy_record_id FROM members WHERE record_id <> first_id",
-        "p1_contents": _CANON + " SELECT first_id AS first_record_id, copies FROM members WHERE record_id = first_id",
-        "p2_found": _CANON
-        + rf"""
+_PAIRS = (
+    _CANON.replace("WITH parts", "WITH RECURSIVE parts")
+    + rf"""
 , items AS (
   SELECT 'record' AS item_kind, CAST(record_id AS VARCHAR) AS item_key, content AS text, root FROM spelled JOIN source_docs USING (record_id) WHERE content IS NOT NULL
   UNION ALL SELECT DISTINCT 'chunk', chunk_id, text, regexp_replace(lower(text), '{_ALNUM}', '', 'g') FROM chunks WHERE text IS NOT NULL
@@ -71,9 +65,38 @@ def oracle_sql() -> dict[str, str]:
   SELECT DISTINCT item_kind, item_key, root, array_to_string(w[i:i + 2], ' ') AS run FROM (SELECT *, unnest(generate_series(1, len(w) - 2)) AS i FROM worded)
 ), sized AS (
   SELECT *, count(*) OVER (PARTITION BY item_kind, item_key) AS n FROM runs
+), pairs AS (
+  SELECT a.item_kind, a.item_key AS low_key, b.item_key AS high_key FROM sized a JOIN sized b ON a.item_kind = b.item_kind AND a.run = b.run AND a.item_key < b.item_key AND a.root <> b.root
+  GROUP BY ALL HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6::DOUBLE
+)"""
+)
+
+_SPACE = r"[^\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": _CANON + " SELECT first_id AS first_record_id, record_id AS copy_record_id FROM members WHERE record_id <> first_id",
+        "p1_contents": _CANON + " SELECT first_id AS first_record_id, copies FROM members WHERE record_id = first_id",
+        "p2_found": _PAIRS + " SELECT item_kind, low_key, high_key FROM pairs",
+        "p2_groups": _PAIRS
+        + """
+, variants AS (
+  SELECT item_kind, item_key, array_to_string(w, ' ') AS v FROM worded WHERE len(w) >= 3
+), linked AS (
+  SELECT DISTINCT p.item_kind, a.v AS a, b.v AS b FROM (SELECT item_kind, low_key AS x, high_key AS y FROM pairs UNION ALL SELECT item_kind, high_key, low_key FROM pairs) p
+  JOIN variants a ON a.item_kind = p.item_kind AND a.item_key = x JOIN variants b ON b.item_kind = p.item_kind AND b.item_key = y
+), named AS (
+  SELECT item_kind, v, min(item_key) AS least FROM variants GROUP BY ALL
+), reached AS (
+  SELECT item_kind, a, a AS b FROM linked UNION SELECT r.item_kind, r.a, l.b FROM reached r JOIN linked l ON l.item_kind = r.item_kind AND l.a = r.b
+), grouped AS (
+  SELECT r.item_kind, r.a AS v, min(least) AS group_id FROM reached r JOIN named n ON n.item_kind = r.item_kind AND n.v = r.b GROUP BY ALL
+), counted AS (
+  SELECT item_kind, a AS v, count(*) AS links FROM linked GROUP BY ALL
 )
-SELECT a.item_kind, a.item_key AS low_key, b.item_key AS high_key FROM sized a JOIN sized b ON a.item_kind = b.item_kind AND a.run = b.run AND a.item_key < b.item_key AND a.root <> b.root
-GROUP BY ALL HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6::DOUBLE""",
+SELECT item_kind, item_key, coalesce(group_id, least) AS group_id, coalesce(links, 0) AS links
+FROM variants JOIN named USING (item_kind, v) LEFT JOIN grouped USING (item_kind, v) LEFT JOIN counted USING (item_kind, v)""",
         "p4_found": _LATEST + " SELECT question_id, chunk_id FROM placed WHERE place <= 5",
         "p4_ranked": _LATEST + " SELECT question_id, CAST(place AS INTEGER) AS place, chunk_id, score FROM placed WHERE place <= 5",
         "p5_found": _SURVIVORS + " SELECT first_id AS first_record_id, field_name, record_id AS from_record_id FROM survivors",

@@ -43,12 +43,12 @@ def boundary_strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 class RangeMaximum:
-    """Where the largest of a range is, the rightmost of equals; built in n log n, asked in constant time."""
+    """Where the largest of a range of up to `reach` values is, the rightmost of equals; built in n log reach, asked in constant time."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, reach: int | None = None):
         self.values, self.table = values, [np.arange(len(values))]
         width = 1
-        while 2 * width <= len(values):
+        while 2 * width <= min(len(values), reach or len(values)):
             left, right = self.table[-1][: len(values) - 2 * width + 1], self.table[-1][width : len(values) - width + 1]
             self.table.append(np.where(values[right] >= values[left], right, left))
             width *= 2
@@ -68,7 +68,7 @@ def cut_points(strengths: np.ndarray, size: int, overlap: int) -> list[tuple[int
     """
     n, start, out = len(strengths), 0, []
     overlap = max(0, min(overlap, size - 1))
-    index = RangeMaximum(strengths) if n > size else None
+    index = RangeMaximum(strengths, size) if n > size else None
     while n - start > size:
         high = start + size - 1
         cut = index.argmax(max(start + overlap, start + size // 2), high)
