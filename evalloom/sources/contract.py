@@ -48,11 +48,12 @@ def strict_json(text: str) -> Any:
     """JSON without duplicate keys."""
 
     def once(pairs: list[tuple[str, Any]]) -> dict:
-        keys = [k for k, _ in pairs]
-        for k in keys:
-            if keys.count(k) > 1:
+        out: dict[str, Any] = {}
+        for k, v in pairs:
+            if k in out:
                 raise ContractError(f"duplicate JSON key: {k}")
-        return dict(pairs)
+            out[k] = v
+        return out
 
     try:
         return json.loads(text, object_pairs_hook=once)
