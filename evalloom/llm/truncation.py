@@ -1,7 +1,7 @@
 """Texts that were cut before their end.
 
 Method: the vocabulary of all texts as a trie; a text whose last word is unknown but a proper prefix of known words was
-cut inside it. Beside it stand the length evidence (many different texts of a source end at its greatest length, in
+cut inside it. Beside it stand the length evidence (many different texts of a source are cut at one length, in
 characters or bytes), what a transfer leaves behind at the end, the punctuation, and how often the last words end
 anything anywhere in the corpus. A list entry, a field, a signature or an address at the end is complete as it is,
 unless the trie, the length or the corpus says otherwise. Prose without a stop is cut, unless neither the trie nor the
@@ -12,18 +12,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.endings import ending_evidence
 from evalloom.runtime import broadcast_if_small, cut_lineage
 
-#: Different texts of one greatest length that make it a limit of the source.
+#: Different texts of one length, visibly cut, that make it a limit of the source.
 MIN_AT_LIMIT = 3
+BROKEN = ("prose", "mark", "residue")
 #: Below this share of ends, the last words don't end anything.
 LOW_END_RATE = 0.05
 LOW_DOT_RATE = 0.1
@@ -77,6 +76,23 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["id", "source", "chars", "bytes", "text_hash"]].assign(closing=[closing(t) for t in batch["text"]], dotted=[bool(re.search(r"[^\W\d_]\.[\"'”’»)\]*_]*$", t.rstrip()[-16:])) for t in batch["text"]], goes_on=[bool(_GOES_ON.search(t[-64:].rstrip("\u200b\ufeff \t\r\n\xa0"))) for t in batch["text"]])
 
 
+def length_limits(features: DataFrame, measure: str) -> DataFrame:
+    """The limit of each source that has one, as `<measure>_limit`, with `<measure>_texts`, how many texts have it.
+
+    A length is a limit if MIN_AT_LIMIT different texts of it or more visibly end in the middle, half of all its texts at
+    least, and more texts have it than are longer. So a few longer texts don't hide it. Of several the commonest counts.
+    """
+    known = features.where("source is not null").withColumnRenamed(measure, "length")
+    broken = known.where(F.col("closing").isin(*BROKEN)).groupBy("source", "length").agg(F.countDistinct("text_hash").alias("broken")).where(F.col("broken") >= MIN_AT_LIMIT)
+    broken = broadcast_if_small(cut_lineage(broken), 100_000)
+    texts = known.join(broken, ["source", "length"]).groupBy("source", "length", "broken").agg(F.countDistinct("text_hash").alias("texts")).where("2 * broken >= texts")
+    # A source has few lengths, however many texts.
+    rows = known.groupBy("source", "length").agg(F.count("*").alias("n"))
+    longer = rows.withColumn("longer", F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("length"))) - F.col("n"))
+    limits = texts.join(longer.drop("n"), ["source", "length"]).where("texts > longer").groupBy("source").agg(F.max_by("length", F.struct("texts", "length")).alias(f"{measure}_limit"), F.max("texts").alias(f"{measure}_texts"))
+    return cut_lineage(limits)
+
+
 def find_truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     """Every text of `df` with whether it was cut: id, source, `cut`, `closing` and `at_limit`.
 
@@ -88,18 +104,13 @@ def find_truncated(df: DataFrame, id_col: str, text: str, source: str) -> DataFr
     schema = f"id {dict(df.dtypes)[id_col]}, source string, chars int, bytes int, text_hash long, closing string, dotted boolean, goes_on boolean"
     features = cut_lineage(measured.mapInPandas(_features, schema))
 
-    # A source's greatest lengths, and how many different texts have them.
-    greatest = broadcast_if_small(features.where("source is not null").groupBy("source").agg(F.max("chars").alias("max_chars"), F.max("bytes").alias("max_bytes")), 100_000)
-    near = features.join(greatest, "source")
-    at_chars, at_bytes = F.col("chars") == F.col("max_chars"), F.col("bytes").between(F.col("max_bytes") - 3, F.col("max_bytes"))
-    # A length is a limit if enough different texts have it and most of them visibly end in the middle.
-    full_bytes = F.col("bytes") == F.col("max_bytes")
-    broken = F.col("closing").isin("prose", "mark", "residue")
-    texts = lambda *conditions: F.countDistinct(F.when(reduce(and_, conditions), F.col("text_hash")))
-    is_limit = lambda at: (texts(at) >= MIN_AT_LIMIT) & (2 * texts(at, broken) >= texts(at))
-    limits = near.where(at_chars | at_bytes).groupBy("source").agg(is_limit(at_chars).alias("char_limit"), is_limit(full_bytes).alias("byte_limit"), F.max("max_chars").alias("max_chars"), F.max("max_bytes").alias("max_bytes"))
-    limited = features.join(broadcast_if_small(limits.where("char_limit or byte_limit"), 100_000), "source", "left")
-    at_limit = F.coalesce((F.col("char_limit") & at_chars) | (F.col("byte_limit") & at_bytes), F.lit(False))
+    limits = length_limits(features, "chars").join(length_limits(features, "bytes"), "source", "full_outer")
+    # Where characters are mostly bytes, texts pile up in both: the limit is the one that more texts have.
+    by_chars = F.coalesce("chars_texts", F.lit(0)) >= F.coalesce("bytes_texts", F.lit(0))
+    limits = limits.select("source", F.when(by_chars, F.col("chars_limit")).alias("chars_limit"), F.when(~by_chars, F.col("bytes_limit")).alias("bytes_limit"))
+    limited = features.join(broadcast_if_small(limits, 100_000), "source", "left")
+    # A character that doesn't fit is left out whole: up to three bytes stay empty.
+    at_limit = F.coalesce(F.col("chars") == F.col("chars_limit"), F.lit(False)) | F.coalesce(F.col("bytes").between(F.col("bytes_limit") - 3, F.col("bytes_limit")), F.lit(False))
     judged = limited.select("id", "source", "closing", "dotted", "goes_on", at_limit.alias("at_limit"))
 
     # The corpus is asked about every end but a clean stop and what a transfer left behind.

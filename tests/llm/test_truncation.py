@@ -64,3 +64,9 @@ def test_a_last_word_of_one_letter_is_a_prefix_in_every_partition(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got[48] == 96 and not any(got[i] for i in range(48))
+
+
+def test_a_longer_text_hides_no_limit(spark):
+    padded = [("Word number %s is here. " % w * 9)[:90] for w in ("aa", "bb", "cc", "dd", "ee")]
+    got = run(spark, [*((t, "limited") for t in padded), ("A much longer text is here. " * 9, "limited"), *(("w" * n + ".", "free") for n in (5, 5, 5, 7))])
+    assert all(got[i].at_limit and got[i].cut for i in range(5)) and not any(got[i].at_limit for i in range(5, 10))
