@@ -53,6 +53,19 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folder: str | None = None
 
 
+def _own_tables(spark: SparkSession):
+    """The file system and the folder of this application's intermediate tables."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/evalloom-{context.applicationId}")
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables made so far, for a session that runs many queries: what was not written yet of their results can't be read afterwards."""
+    files, path = _own_tables(spark)
+    files.delete(path, True)
+
+
 def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it from there, so that a lost executor costs no recomputation of what came before.
 
@@ -61,11 +74,9 @@ def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     their values reads no other rows.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = f"{shared_folder(spark)}/evalloom-{context.applicationId}"
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    table = f"{folder}/{uuid.uuid4().hex}"
+    files, path = _own_tables(spark)
+    files.deleteOnExit(path)
+    table = f"{path}/{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(table)
     return spark.read.schema(df.schema).parquet(table)
 
