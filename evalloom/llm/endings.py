@@ -30,8 +30,8 @@ from evalloom.runtime import cut_lineage, join_weighted
 #: A context with fewer occurrences than this says nothing.
 MIN_SUPPORT = 12
 LEVELS = 5
-#: Words in a row that a task looks at together, and context counts it holds before it passes them on.
-TOGETHER, HELD = 100_000, 1_000_000
+#: Words in a row that a task looks at together, and counts of contexts and of words it holds before it passes them on.
+TOGETHER, HELD, WORDS_HELD = 100_000, 1_000_000, 300_000
 #: 64-bit words of the filter of asked contexts, at most: 16 MB. Up to there each context has 16 bits or more.
 FILTER_WORDS = 1 << 21
 
@@ -206,10 +206,10 @@ def _count(asked, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places.add(text)
             if len(places) > TOGETHER:
                 gather()
-        if n_held > HELD:
-            yield counted()
-        if len(words) > HELD:
-            yield vocabulary()
+                if n_held > HELD:
+                    yield counted()
+                if len(words) > WORDS_HELD:
+                    yield vocabulary()
     if len(places):
         gather()
     if held:

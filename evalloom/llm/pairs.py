@@ -135,6 +135,17 @@ def expand(grammar: dict[str, list[str]], production: str, gap: str = "") -> str
     return out
 
 
+def first_words(grammar: dict[str, list[str]], production: str) -> set[str]:
+    """The words that what a production describes can begin with."""
+    part = production.split("> ")[0] if production[0] == "<" else production.split()[0]
+    name = part.rstrip("?").strip("<>-")
+    if production[0] == "<" or production.startswith("-<"):
+        return set().union(*(first_words(grammar, p) for p in grammar[name]))
+    return {_WORD.search(name)[0]}
+
+
+#: A reply without any of them declines nothing.
+_FIRST_WORDS = frozenset().union(*(first_words(g, p) for g in GRAMMARS.values() for p in g["refusal"]))
 _REFUSAL = re.compile(r"\b(?:" + "|".join(expand(g, p) for g in GRAMMARS.values() for p in g["refusal"]) + ")")
 _QUOTES = {'"': re.compile('["\n]'), "“": re.compile("”"), "„": re.compile("[“”]"), "«": re.compile("»")}
 _QUOTE = re.compile("[\"“„«]")
@@ -144,14 +155,15 @@ _MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]{0,15})([^<>]*)(>?)")
 _ITEM = re.compile(r"([^\S\n]*)(?:[-*•–]|\d+[.)])(?:[^\S\n]+\[[ xX]\])?(?=\s|$)")
 _OPEN, _CLOSE = "([{«„“", ")]}»””"
 #: What can open anything: without it there is nothing to parse.
-_STRUCTURE = re.compile(r"[\"<(\[{«„“]|```|^[^\S\n]*(?:[-*•–]|\d+[.)])(?=\s|$)", re.MULTILINE)
+_OPENS, _MARKS = ('"', "<", "(", "[", "{", "«", "„", "“", "```"), frozenset("-*•–0123456789 \t\xa0")
+_LISTED = re.compile(r"^[^\S\n]*(?:[-*•–]|\d+[.)])(?=\s|$)", re.MULTILINE)
 
 
 def is_empty(text: str | None) -> bool:
     """Says nothing: null, no letter or digit, or only a placeholder."""
     if text is None:
         return True
-    bare = _TAG.sub(" ", text)
+    bare = _TAG.sub(" ", text) if "<" in text or "&" in text else text
     if not any(c.isalnum() for c in bare):
         return True
     return len(bare) < 64 and bare.lower().strip(" \t\r\n\xa0​[](){}<>\"'*_.:-“”«»") in PLACEHOLDERS
@@ -181,7 +193,7 @@ def open_structures(text: str) -> list[str]:
     A closing mark without its partner is passed over, as in numbered lists or smileys. A plain quotation mark opens after white
     space or an opening bracket and closes otherwise, so that inch marks don't count.
     """
-    if not _STRUCTURE.search(text):
+    if not any(c in text for c in _OPENS) and not (("\n" in text or text[:1] in _MARKS) and _LISTED.search(text)):
         return []
     stack: list[str] = []
     items: list[list] = []
@@ -315,14 +327,31 @@ _FUNCTION_SETS = {k: set(v) for k, v in FUNCTION_WORDS.items()}
 LANGUAGES = tuple(FUNCTION_WORDS)
 
 
+class _Marked(dict):
+    """Words as they tell a language: capitalised ones marked, as they may be names, nothing for one with a digit; remembered, up to a bound."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = marked = "" if any(map(str.isdigit, word)) else f"^{word.lower()}" if word[0].isupper() else word
+        return marked
+
+
+_marked = _Marked()
+
+
 def _reply_words(text: str) -> list[str]:
-    """Words that tell a language: without quotations and numbers, capitalised ones marked, as they may be names."""
-    words = [w for w in _WORD.findall(unquoted(text)) if not any(c.isdigit() for c in w)]
-    return [f"^{w.lower()}" if w[0].isupper() else w for w in words]
+    """Words that tell a language: without quotations and numbers."""
+    return [w for w in map(_marked.__getitem__, _WORD.findall(unquoted(text))) if w]
+
+
+_FAR, _LETTER = re.compile("[\u0250-\U0010ffff]"), re.compile(r"[^\W\d_]")
 
 
 def script(text: str) -> str | None:
     """The script of most letters: latin, cyrillic, greek, arabic, hebrew, han or kana, hangul, or None without letters."""
+    if not _FAR.search(text):
+        return "latin" if _LETTER.search(text) else None
     counts: Counter[str] = Counter()
     for c, n in Counter(text).items():
         if c.isalpha():
@@ -410,9 +439,10 @@ def verdict(model: LanguageModel, question: Question, text: str | None, siblings
     """The defect of a reply, None for none, 'ask' if only the corpus can tell."""
     if is_empty(text):
         return "empty"
-    if _REFUSAL.search(unquoted(text).replace("’", "'").lower()):
+    words = _WORD.findall(text.lower())
+    if not _FIRST_WORDS.isdisjoint(words) and _REFUSAL.search(unquoted(text).replace("’", "'").lower()):
         return "refusal"
-    if is_echo(question.asked, _WORD.findall(text.lower())):
+    if is_echo(question.asked, words):
         return "echo"
     if _language_differs(model, question, text):
         return "language"
