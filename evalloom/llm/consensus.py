@@ -5,8 +5,7 @@ the alignment is a vote, weighted by the records that stand behind each token or
 fewest token edits to the consensus is the one that survives. Aligning ends as soon as the weight still to come can turn
 no column. The guide tree of a field with many different values has lanes of values, aligned first, and then the lanes.
 
-Weights may be numbers, which add up, or an order in which each record outweighs all after it together; what an order of
-preference demands is then what the vote gives, too.
+An order of preference leaves nothing to vote on: the first record that has a value decides alone (`preferred_values`).
 """
 
 from __future__ import annotations
@@ -109,7 +108,7 @@ def distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def _fold(ordered: bool, last: bool):
+def _fold(last: bool):
     """Folds the profiles of each group, field and lane, which come one after the other, into one; the `last` fold gives what they agree on."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,12 +117,8 @@ def _fold(ordered: bool, last: bool):
         for (group, field, lane), listed in groupby(rows, key=lambda r: r[:3]):
             first = list(listed)
             members = [(json.loads(packed), weight) for *_, packed, weight, _ in first]
-            if ordered:
-                # Each outweighs all after it together, those of other lanes that come later included.
-                members = [([dict.fromkeys(column, 1 << (len(members) - k)) for column in profile], 1 << (len(members) - k)) for k, (profile, _) in enumerate(members)]
-            profile, total = agree(members, last or ordered or first[0][3] == 1)
-            told = vote(profile, total)
-            out.append((group, field, lane, first[0][3], json.dumps(told if last else [{t: 1} for t in told] if ordered else profile), 0.0 if ordered else float(total), first[0][6]))
+            profile, total = agree(members, last or first[0][3] == 1)
+            out.append((group, field, lane, first[0][3], json.dumps(vote(profile, total) if last else profile), float(total), first[0][6]))
             if len(out) >= 2000:
                 yield pd.DataFrame(out, columns=["set", "field_name", "lane", "lanes", "profile", "weight", "place"])
                 out = []
@@ -143,7 +138,7 @@ def _edits(value: pd.Series, agreed: pd.Series) -> pd.Series:
     return pd.Series([distance(tokenize(v), json.loads(a)) for v, a in zip(value, agreed, strict=True)], dtype="int32")
 
 
-def _survivors(listed: DataFrame, kind: str, ordered: bool) -> DataFrame:
+def _survivors(listed: DataFrame, kind: str) -> DataFrame:
     """Of `set`, `field_name`, `value`, `weight`, `id` and `place` (an array by which the heaviest value comes first), one row a value: the value closest to the consensus of each set and field, with `edits`."""
     sizes = listed.groupBy("set", "field_name").agg(F.ceil(F.count("*") / ALIGNED_TOGETHER).cast("int").alias("lanes"))
     values = cut_lineage(listed.join(sizes, ["set", "field_name"]))
@@ -152,22 +147,22 @@ def _survivors(listed: DataFrame, kind: str, ordered: bool) -> DataFrame:
     lane = F.pmod(F.xxhash64("value"), F.col("lanes")).cast("int")
     parts = values.select("set", "field_name", lane.alias("lane"), "lanes", _single("value", "weight").alias("profile"), "weight", "place")
     by = ("set", "field_name", "lane", "place")
-    several = parts.where("lanes > 1").repartition(*by[:3]).sortWithinPartitions(*by).mapInPandas(_fold(ordered, False), schema).withColumn("lane", F.lit(0))
+    several = parts.where("lanes > 1").repartition(*by[:3]).sortWithinPartitions(*by).mapInPandas(_fold(False), schema).withColumn("lane", F.lit(0))
     folded = parts.where("lanes = 1").unionByName(several)
-    agreed = folded.repartition("set", "field_name").sortWithinPartitions(*by).mapInPandas(_fold(ordered, True), schema)
+    agreed = folded.repartition("set", "field_name").sortWithinPartitions(*by).mapInPandas(_fold(True), schema)
     judged = values.join(agreed.select("set", "field_name", F.col("profile").alias("agreed")), ["set", "field_name"]).withColumn("edits", _edits("value", "agreed"))
     best = judged.groupBy("set", "field_name").agg(F.min(F.struct("edits", "place", "value", "id", "weight")).alias("b"))
     return best.select("set", "field_name", "b.value", "b.id", "b.edits", "b.weight")
 
 
 def preferred_values(listed: DataFrame, set_col: str) -> DataFrame:
-    """The same under an order of preference: of `set_col`, `field_name`, `value` (a string, not null), `rank`, `age` (integers) and `id`, the value that the records of each set agree on if each outweighs all after it together, in the order of rank, age and id.
+    """The value of the first record of each `set_col` and `field_name` in the order of `rank`, `age` (integers) and `id`; `value` is a string, not null.
 
-    Result: set_col, `field_name`, `value`, `from_record_id` (the first record with that value).
+    Result: set_col, `field_name`, `value`, `from_record_id`. If one id has several values in the same place, the
+    smallest counts. Nothing is aligned: the order alone decides, in one aggregate that is begun before the shuffle.
     """
-    best = listed.groupBy(F.col(set_col).alias("set"), "field_name", "value").agg(F.min(F.struct("rank", "age", "id")).alias("place"))
-    rows = best.select("set", "field_name", "value", F.lit(1.0).alias("weight"), "place.id", "place")
-    return _survivors(rows, dict(listed.dtypes)[set_col], True).select(F.col("set").alias(set_col), "field_name", "value", F.col("id").alias("from_record_id"))
+    first = listed.groupBy(set_col, "field_name").agg(F.min(F.struct("rank", "age", "id", "value")).alias("f"))
+    return first.select(set_col, "field_name", "f.value", F.col("f.id").alias("from_record_id"))
 
 
 def consensus_values(members: DataFrame, set_col: str, id_col: str, weight: str, fields: tuple[str, ...]) -> DataFrame:
@@ -183,5 +178,5 @@ def consensus_values(members: DataFrame, set_col: str, id_col: str, weight: str,
     listed = listed.select("set", "id", "w", "f.*").where("value is not null and trim(value) <> ''")
     values = listed.groupBy("set", "field_name", "value").agg(F.sum("w").alias("weight"), F.min("id").alias("id"))
     values = values.withColumn("place", F.struct((-F.col("weight")).alias("against"), "id"))
-    best = _survivors(values, dict(members.dtypes)[set_col], False)
+    best = _survivors(values, dict(members.dtypes)[set_col])
     return best.select(F.col("set").alias(set_col), "field_name", "value", F.col("id").alias("from_record_id"), "edits", F.col("weight").alias("votes"))

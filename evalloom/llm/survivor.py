@@ -1,7 +1,7 @@
 """The surviving value of each field of a duplicate group.
 
-The rule wanted is an order of preference: the first record, by trust, date and id, that has a field gives its value. A
-token-level consensus gives just that if each record outweighs all after it together (consensus.py).
+The rule wanted is an order of preference: the first record, by trust, date and id, that has a field gives its value. No
+two records share a place in it, so that no vote is left to be taken and the consensus of consensus.py has no part here.
 """
 
 from __future__ import annotations
